@@ -18,5 +18,21 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_compression_bands": op8_compression_bands}
+def op2_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm import kernel_langid as k
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = k.train(docs.where(~k.held_out()))
+    return k.predict(docs.select("doc_id", k.held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from termweave.llm import packed_ids
+
+    return packed_ids.write_and_read(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50_257)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_kernel_langid, op6_packed_ids, op8_compression_bands)}
 SQL: dict[str, str] = {}
