@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from termweave.llm import perspectives
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op7_page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.page_layout import extract_pages
+
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.compression_bands import compression_quality
 
@@ -26,6 +32,12 @@ def op2_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.predict(docs.select("doc_id", k.held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.perspectives import rotate
+
+    return rotate(_read(spark, sf_dir, "conversations"))
+
+
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,5 +46,13 @@ def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.write_and_read(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50_257)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_kernel_langid, op6_packed_ids, op8_compression_bands)}
-SQL: dict[str, str] = {}
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from termweave.llm.piece_codec import encode_documents
+
+    return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_kernel_langid, op4_perspectives, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec)}
+SQL: dict[str, str] = {"op4_perspectives": perspectives.SQL}
