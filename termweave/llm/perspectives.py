@@ -74,10 +74,10 @@ s AS (
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 m AS (
   SELECT *, coalesce(sum(length(head) + length(said)) OVER (PARTITION BY conv_id, perspective, part ORDER BY k
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM s)
 SELECT conv_id, perspective, part, CAST(count(*) AS BIGINT) AS n_turns, string_agg(head || said, '' ORDER BY k) AS text,
-       coalesce(string_agg(CAST(at + length(head) AS VARCHAR) || ':' || CAST(at + length(head) + length(said) AS VARCHAR), ',' ORDER BY k)
+       coalesce(string_agg(CAST(pos + length(head) AS VARCHAR) || ':' || CAST(pos + length(head) + length(said) AS VARCHAR), ',' ORDER BY k)
                 FILTER (WHERE mine), '') AS target_spans
 FROM m GROUP BY conv_id, perspective, part
 """

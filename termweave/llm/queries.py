@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from termweave.llm import perspectives
+from termweave.llm import line_runs, perspectives
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,5 +54,9 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_kernel_langid, op4_perspectives, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec)}
-SQL: dict[str, str] = {"op4_perspectives": perspectives.SQL}
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_kernel_langid, op4_perspectives, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec, op10_line_runs)}
+SQL: dict[str, str] = {"op4_perspectives": perspectives.SQL, "op10_line_runs": line_runs.SQL}
