@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from termweave.llm import line_runs, perspectives
+from termweave.llm import line_runs, perspectives, signature_trees
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.predict(docs.select("doc_id", k.held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = signature_trees.Join(words=3, num=90, den=100)
+    return signature_trees.near_duplicates(_read(spark, sf_dir, "documents"), join)
+
+
 def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.perspectives import rotate
 
@@ -58,5 +63,5 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_kernel_langid, op4_perspectives, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec, op10_line_runs)}
-SQL: dict[str, str] = {"op4_perspectives": perspectives.SQL, "op10_line_runs": line_runs.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_kernel_langid, op3_signature_trees, op4_perspectives, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec, op10_line_runs)}
+SQL: dict[str, str] = {"op3_signature_trees": signature_trees.SQL, "op4_perspectives": perspectives.SQL, "op10_line_runs": line_runs.SQL}
