@@ -24,6 +24,12 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality(_read(spark, sf_dir, "documents"))
 
 
+def op1_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.latent_leaks import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm import kernel_langid as k
 
@@ -63,5 +69,5 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_kernel_langid, op3_signature_trees, op4_perspectives, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec, op10_line_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_leaks, op2_kernel_langid, op3_signature_trees, op4_perspectives, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec, op10_line_runs)}
 SQL: dict[str, str] = {"op3_signature_trees": signature_trees.SQL, "op4_perspectives": perspectives.SQL, "op10_line_runs": line_runs.SQL}
