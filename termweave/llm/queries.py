@@ -49,6 +49,12 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(_read(spark, sf_dir, "conversations"))
 
 
+def op5_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.prefix_free import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,5 +75,5 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_leaks, op2_kernel_langid, op3_signature_trees, op4_perspectives, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec, op10_line_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_leaks, op2_kernel_langid, op3_signature_trees, op4_perspectives, op5_prefix_free, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec, op10_line_runs)}
 SQL: dict[str, str] = {"op3_signature_trees": signature_trees.SQL, "op4_perspectives": perspectives.SQL, "op10_line_runs": line_runs.SQL}
