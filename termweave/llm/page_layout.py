@@ -189,10 +189,12 @@ class Renderer:
             if inline:
                 joined = "".join(inline)
                 inline.clear()
-                for i, part in enumerate(joined.split(BREAK)):
-                    part = _BLANKS.sub(" ", part).strip(" ")
-                    if part or i and lines and lines[-1]:
-                        add([part] if part else [])
+                parts = [_BLANKS.sub(" ", x).strip(" ") for x in joined.split(BREAK)]
+                for i, part in enumerate(parts):
+                    if part:
+                        add([part])
+                    elif 0 < i < len(parts) - 1 and lines and lines[-1]:
+                        lines.append("")
 
         def add(more: list[str]) -> None:
             nonlocal gap
