@@ -8,14 +8,22 @@ from collections.abc import Callable
 import numpy as np
 
 
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and how many each list has."""
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
 class ChunkStore:
     """Keys are words that stand after one blank, or a blank and a chunk to be taken literally.
 
-    ``encode`` gets the keys that are not known and returns their ids and one flag for each. Up to ``limit`` keys
+    ``encode`` gets keys that are not known and returns all their ids one after the other, and for each key how many it
+    has and a flag. Up to ``limit`` keys
     are kept, the earliest ones, which in running text are the frequent ones; later ones are encoded once a batch.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[list[list[int]], list[bool]]], limit: int = 300_000):
+    STEP = 4096
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, list[bool]]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
@@ -32,11 +40,15 @@ class ChunkStore:
             fresh: dict[str, int] = {}
             base = len(self.known)
             number[miss] = [base + fresh.setdefault(every[i], len(fresh)) for i in miss.tolist()]
-            ids, same = self.encode(list(fresh))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+            keys, parts = list(fresh), [flat]
+            sizes, same = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            for i in range(0, len(keys), self.STEP):  # the library's own results are large
+                ids, own, good = self.encode(keys[i : i + self.STEP])
+                sizes[i : i + len(own)], same[i : i + len(own)] = own, good
+                parts.append(ids)
+            flat = np.concatenate(parts)
             at = np.concatenate([at, at[-1] + np.cumsum(sizes)])
-            flags = np.concatenate([flags, np.array(same, bool)])
+            flags = np.concatenate([flags, same])
             if base < self.limit:
                 self.flat, self.at, self.flags = flat, at, flags
                 for key, k in fresh.items():

@@ -9,6 +9,7 @@ one document, one block or everything with numpy.
 
 from __future__ import annotations
 
+import functools
 import io
 import itertools
 import json
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm import shared
+from termweave.llm.chunk_store import ChunkStore, flattened
 
 MAGIC = b"TWPACK01"
 NULL_ID = -(1 << 63)
@@ -111,30 +113,60 @@ def write_shard(out, docs: list[int | None], lengths: list[int], ids: Iterator[n
         out.write(pack(np.concatenate(held), width))
 
 
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_LOOSE = [p for c in _BLANKS for p in (c + " ", " " + c)]
+_LOOSE_ASCII = [p for p in _LOOSE if p.isascii()]
+
+
+def _loose(text: str) -> bool:
+    """Whether some blank has other white space, or the text's end, beside it."""
+    return text[0] == " " or text[-1] == " " or any(p in text for p in (_LOOSE_ASCII if text.isascii() else _LOOSE))
+
+
 class ChunkEncoder:
-    """Encodes texts with a tokenizers file, each distinct chunk once for a worker.
+    """Encodes texts with a tokenizers file by chunks, a chunk being a word with the blank before it.
 
-    A chunk is a word with the blank before it. Cutting is safe where a single blank stands between two
-    characters that are not white space, as byte-level pre-tokenizers always cut there; elsewhere chunks stay together.
+    Cutting is safe where a single blank stands between two characters that are not white space, as byte-level
+    pre-tokenizers always cut there; a text with other blanks is cut at its safe places only.
     """
 
-    LIMIT = 400_000  # chunks kept at most; then the store starts anew
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.flat = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def chunks(self, text: str) -> list[str]:
+        size = self.tokenizer.get_vocab_size()
+        self.blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # the mark of byte 0x20
+        self.store = ChunkStore(self._encode)
+
+    def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """Words are encoded many at once, as a text of their own: only a word's first token holds its blank."""
+        words = [k for k in keys if k[0] != " "]
+        lines = [" " + " ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        ids, _ = flattened([x.ids for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        first = np.flatnonzero(self.blank[ids])
+        if len(first) != len(words):
+            raise AssertionError("a word without a token of its own blank")
+        sizes = np.diff(np.append(first, len(ids)))
+        if len(words) == len(keys):
+            return ids, sizes, [True] * len(keys)
+        other, some = flattened([x.ids for x in self.tokenizer.encode_batch_fast([k[1:] for k in keys if k[0] == " "], add_special_tokens=False)])
+        literal = np.array([k[0] == " " for k in keys])
+        every = np.zeros(len(keys), np.int64)
+        every[literal], every[~literal] = some, sizes
+        out = np.zeros(int(every.sum()), np.int32)
+        which = np.repeat(literal, every)
+        out[which], out[~which] = other, ids
+        return out, every, [True] * len(keys)
+
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        if not text:
+            return []
         words = text.split(" ")
+        if not _loose(text):
+            words[0] = " " + words[0]
+            return words
         out = [words[0]]
         for w in words[1:]:
             last = out[-1]
@@ -142,37 +174,18 @@ class ChunkEncoder:
                 out.append(" " + w)
             else:
                 out[-1] = last + " " + w
-        return out
-
-    def learn(self, missing: list[str]) -> None:
-        if len(self.known) + len(missing) > self.LIMIT:
-            raise OverflowError
-        for chunk, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[chunk] = len(self.parts)
-            self.parts.append(np.array(found.ids, np.uint32))
-        self.flat = np.concatenate([self.flat, *self.parts[len(self.at) - 1 :]])
-        self.at = np.concatenate([[0], np.cumsum([len(p) for p in self.parts])])
+        return [" " + out[0], *(w[1:] if " " not in w[1:] else " " + w for w in out[1:])]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        every = list(itertools.chain.from_iterable(cut))
-        missing = list(dict.fromkeys(c for c in every if c not in self.known))
-        if len(self.known) + len(missing) > self.LIMIT:
-            self.reset()
-            missing = list(dict.fromkeys(every))
-            if len(missing) > self.LIMIT:
-                found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                return np.concatenate(found), np.array([len(x) for x in found])
-        if missing:
-            self.learn(missing)
-        number = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        sizes = np.diff(self.at)[number]
-        ends = np.cumsum(sizes)
-        index = np.repeat(self.at[:-1][number] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        bounds = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
-        until = np.concatenate([[0], ends])
-        return self.flat[index], np.diff(until[bounds])
+        ids, counts, _ = self.store.lookup([self.keys(t) for t in texts])
+        return ids, counts
+
+
+@functools.cache
+def worker_encoder(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker, so chunks stay known."""
+    return ChunkEncoder(path)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int = 0, shards: int = 0, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +203,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
     width = width_of(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         names: list[int | None] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []

@@ -165,7 +165,7 @@ def test_token_files_against_whole_texts(spark):
 
 def test_chunk_store_beyond_its_limit():
     calls = []
-    store = chunk_store.ChunkStore(lambda keys: (calls.append(list(keys)), ([[len(k), 7] for k in keys], [k != "bad" for k in keys]))[1], limit=2)
+    store = chunk_store.ChunkStore(lambda keys: (calls.append(list(keys)), (*chunk_store.flattened([[len(k), 7] for k in keys]), [k != "bad" for k in keys]))[1], limit=2)
     for _ in range(2):
         ids, counts, ok = store.lookup([["a", "bb", "a"], [], ["bad", "ccc"]])
         assert ids.tolist() == [1, 7, 2, 7, 1, 7, 3, 7, 3, 7] and counts.tolist() == [6, 0, 4] and ok.tolist() == [True, True, False]
