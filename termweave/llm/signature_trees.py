@@ -124,8 +124,8 @@ def _sketch(join: Join, buckets: int):
                     owners.append(np.full(len(keys[-1]), own, np.int64))
             n = len(ids)
             none = pa.nulls(n, pa.binary())
-            places = [x % buckets if x is not None else i % buckets for i, x in enumerate(ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), none], names=["bucket", "doc_id", "set_id", "n", "entries"])
+            places = np.arange(n) % buckets  # documents only pass through, so copies of one set are spread
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), none], names=["bucket", "doc_id", "set_id", "n", "entries"])
             if keys:
                 key, owner = np.concatenate(keys), np.concatenate(owners)
                 bucket = ((key >> U64(32)) % U64(buckets)).astype(np.int32)
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     returned as its own component) and a repeated row is a copy of itself. Words are lower-cased in A-Z only. Tokens
     and set ids are 64-bit fingerprints. Extra columns are ignored. Every text is parsed once, and the texts of one
     document for each distinct set inside a family once more. What crosses the network: 16 bytes for each class key
-    (about a tenth as many as shingles at 0.9), the texts once, the tokens of families twice at most.
+    (about a tenth as many as shingles at 0.9), and the tokens of families, three times at most.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "signature-trees")
@@ -313,13 +313,19 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     placed = inside.join(bundles, "family").select("set_id", "rep", "family", "bundles", F.pmod(F.xxhash64("set_id"), F.col("bundles")).cast("int").alias("bundle"))
     wanted = placed.where("rep is not null").select(F.col("rep").alias("doc_id"), "set_id", "family", "bundle", "bundles")
 
-    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.steps(batches, 1):
-            found = [x.tobytes() for x in shingle_sets(batch.column(1), join.words)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, 6)), pa.array(found, pa.binary())], names=["set_id", "family", "bundle", "bundles", "tokens"])
+    wanted = scratch.keep(wanted, "wanted")
+    near = shared.IdFilter(wanted, "doc_id")
 
-    # several rows of one id: any of them whose set is the wanted one would do, so keep one for each set
-    rows = data.join(wanted, "doc_id").select("doc_id", "text", "set_id", "family", "bundle", "bundles").mapInArrow(tokens_of, "set_id long, family long, bundle int, bundles int, tokens binary")
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(near.passing(batch.column(2))))
+            for some in shared.steps(iter([batch]), 1):
+                found = [x.tobytes() for x in shingle_sets(some.column(1), join.words)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], names=["doc_id", "tokens"])
+
+    # of several rows with one id, those of another set than the wanted one only add sets that are linked alike
+    held = shared.IdFilter.hashed(data, "doc_id").mapInArrow(tokens_of, "doc_id long, tokens binary")
+    rows = held.join(wanted.hint("merge"), "doc_id")  # one plan at every size.select("set_id", "family", "bundle", "bundles", "tokens")
     tokens = scratch.keep(rows, "tokens")
     scratch.tidy()
     plain = F.lit(None).cast("long")
