@@ -199,7 +199,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     character, so ``kept`` is binary. Ids must tell documents apart (a null id counts as one more); rows repeated
     whole are copies of each other. Extra columns are ignored. Strings are compared by 128-bit fingerprints.
 
-    Texts cross the network twice (for border windows, for the result); about one 30-byte entry for every ``reach``
+    Texts cross the network once for the result, and those with border windows once more; about one 30-byte entry for every ``reach``
     / 2 bytes of text crosses once. A task's memory follows its own texts, a bucket's its share of distinct cuts.
     """
     spark = docs.sparkSession
@@ -232,7 +232,13 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     marks = scratch.keep(dealt.mapInArrow(meet, MARKS).select("doc", "start", "extra", "kind"), "marks")
     scratch.tidy()
 
-    border = marks.where(F.col("kind") == WINDOWS).groupBy("doc").agg(F.collect_set(F.struct("start", "extra")).alias("places"))
+    border = scratch.keep(marks.where(F.col("kind") == WINDOWS).groupBy("doc").agg(F.collect_set(F.struct("start", "extra")).alias("places")), "border")
+    near = shared.IdFilter(border, "doc")
+
+    def having_border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.filter(pa.array(near.passing(batch.column(2))))
+            yield pa.RecordBatch.from_arrays(left.columns[:2], names=["doc", "text"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -282,7 +288,8 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
             else:
                 yield x
 
-    looked = data.join(border, "doc").select("doc", "text", "places").mapInArrow(windows, MARKS).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    texts = shared.IdFilter.hashed(data, "doc").mapInArrow(having_border, "doc long, text string")
+    looked = texts.join(border, "doc").select("doc", "text", "places").mapInArrow(windows, MARKS).repartition(parts, "bucket").sortWithinPartitions("bucket")
     spans = scratch.keep(looked.mapInArrow(meet_windows, MARKS).select("doc", "start", F.col("extra").alias("end")), "spans")
     scratch.tidy()
     whole = marks.where(F.col("kind") == COVERED).select("doc", (F.col("start") - 2 * p.reach + 1).alias("start"), (F.col("start") + p.length - p.reach).alias("end"))

@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles at once (a longer single text goes alone).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,3 +76,29 @@ def table_partitions(spark: SparkSession) -> int:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under names that no other column can clash with."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+class IdFilter:
+    """A filter of fixed size for long ids: lets every id of ``ids`` through and few others, whatever their number.
+
+    Only for moving fewer rows before an exact join; at most 2^20 words of bits come to the driver and go out.
+    """
+
+    WORDS = 1 << 20
+
+    def __init__(self, ids: DataFrame, column: str):
+        h = F.xxhash64(F.col(column))
+        bits = ids.select(F.shiftrightunsigned(h, 44).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")).alias("bit"))
+        rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        table = np.zeros(self.WORDS, np.int64)
+        table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+        self.held = ids.sparkSession.sparkContext.broadcast(table)
+
+    @staticmethod
+    def hashed(data: DataFrame, column: str) -> DataFrame:
+        """``data`` with the hash that ``passing`` needs as its last column."""
+        return data.withColumn("__hash", F.xxhash64(F.col(column)))
+
+    def passing(self, hashes: pa.Array) -> np.ndarray:
+        h = hashes.to_numpy()
+        return (self.held.value[(h.view(np.uint64) >> np.uint64(44)).astype(np.int64)] >> (h & 63)) & 1 > 0
