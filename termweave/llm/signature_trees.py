@@ -7,8 +7,8 @@ traversal of two trees (or of one with itself) descends only into such pairs, an
 connected already. Sets that reach the leaves together are intersected exactly.
 
 One tree over a corpus would have to be met by every set. Trees are therefore built over families: sets that can
-be linked must agree wholly on one of their P hash classes of tokens, as a linked pair differs in at most P - 1
-tokens (P follows from the sizes). Sets that agree on a class are chained, and the components of the chains are the
+be linked must agree wholly on one of their hash classes of tokens, as there are more classes than tokens in which
+the two can differ (a number that follows from the sizes). Sets that agree on a class are chained, and the components of the chains are the
 families. No link crosses families, and no pair is listed to find them. A large family is dealt into bundles of
 bounded size: every bundle's tree is joined with itself and with the first bundle's tree, and the sets that are
 still apart from the family's main component afterwards are joined with all bundles. Sets equal in full are one
@@ -50,14 +50,16 @@ class Join:
     def linked(self, a: int, b: int, both: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
 
-    def bands(self, top: int) -> list[tuple[int, int]]:
-        """(least size, classes) of size bands until ``top``: enough classes for every pair whose smaller set is in the band."""
+    def bands(self, top: int) -> list[tuple[int, int, int]]:
+        """(least size, most differing tokens, classes) of size bands until ``top``, for pairs whose smaller set is in the
+        band. There are a few classes more than needed, see class_keys."""
         out, low = [], 1
         while low <= top:
             high = max(low + 1, -(-low * 13 // 10))
             most = high - 1
             larger = most * self.den // self.num
-            out.append((low, (most + larger) * (self.den - self.num) // (self.den + self.num) + 1))
+            differ = (most + larger) * (self.den - self.num) // (self.den + self.num)
+            out.append((low, differ, 1 if not differ else differ + 1 + max(2, -(-differ * 3 // 20))))
             low = high
         return out
 
@@ -82,7 +84,12 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def class_keys(tokens: np.ndarray, join: Join, bands: list[tuple[int, int]], lows: np.ndarray) -> np.ndarray:
-    """One key for each hash class of a set, for its own band and for the lower bands whose sets it may be linked with."""
+    """Keys of the hash classes of a set, for its own band and for the lower bands whose sets it may be linked with.
+
+    With D differing tokens at most and Q classes, a linked pair agrees on Q - D classes or more. Classes that are empty
+    in both say nothing and would chain strangers; a set with fewer than Q - D empty classes leaves them out and still
+    agrees with every partner on a class with tokens. Only sets with more empty classes (rare and small) name them.
+    """
     n = len(tokens)
     spread = wordhash.mix(tokens ^ U64(0xA24BAED4963EE407))
     value = wordhash.mix(tokens + U64(0x9FB21C651E98DF25))
@@ -91,10 +98,12 @@ def class_keys(tokens: np.ndarray, join: Join, bands: list[tuple[int, int]], low
     band = int(np.searchsorted(lows, n, "right")) - 1
     least = -(-n * join.num // join.den)
     while band >= 0 and (not out or bands[band + 1][0] - 1 >= least):
-        p = bands[band][1]
+        _, differ, p = bands[band]
         part = (spread % U64(p)).astype(np.int64)
         sums = np.bincount(part, low, p).astype(np.uint64) + (np.bincount(part, high, p).astype(np.uint64) << U64(32))
-        out.append(wordhash.mix(sums + wordhash.mix(np.arange(p, dtype=np.uint64) + U64(band << 40))))
+        keys = wordhash.mix(sums + wordhash.mix(np.arange(p, dtype=np.uint64) + U64(band << 40)))
+        held = np.bincount(part, minlength=p) > 0
+        out.append(keys[held] if p - held.sum() < p - differ else keys)
         band -= 1
     return np.concatenate(out)
 
