@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,13 +44,22 @@ def plain(c: Column, lowercase: bool = True) -> Column:
     return F.lower(out) if lowercase else out
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` as a lambda's variable: made once, also where ``use`` names it inside another lambda (there
+    Spark would make the expression again for every element)."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def ngrams(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter text is its own only n-gram, the empty text has none."""
     if n < 1:
         raise ValueError("n must be 1 or more")
-    size = F.length(c)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(c)).otherwise(many)
+
+    def grams(ch: Column) -> Column:
+        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ch) - (n - 1)), lambda i: F.array_join(F.slice(ch, i, F.lit(n)), "")))
+        return F.when(F.size(ch) == 0, F.array().cast("array<string>")).when(F.size(ch) < n, F.array(F.array_join(ch, ""))).otherwise(many)
+
+    return bound(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), grams)
 
 
 def tokens(c: Column) -> Column:
@@ -64,8 +73,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its length; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+    def scaled(v: Column) -> Column:
+        both = F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("norm"))
+        return bound(both, lambda t: F.transform(t["v"], lambda x: F.when(t["norm"] > 0, x.cast("double") / t["norm"]).otherwise(F.lit(0.0))))
+
+    return bound(v, scaled)
 
 
 def round_even(c: Column, digits: int = 3) -> Column:
@@ -74,7 +87,6 @@ def round_even(c: Column, digits: int = 3) -> Column:
 
 def hashed_embedding(c: Column, dims: int = 64, n: int = 3) -> Column:
     """Deterministic embedding: signed hashed n-grams counted into ``dims`` cells, scaled to length one."""
-    grams = ngrams(clean(c), n)
-    cells = F.transform(grams, lambda g: F.struct(F.pmod(F.xxhash64(g), F.lit(dims)).alias("cell"), F.when(F.xxhash64(g, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(cells, lambda x: x["cell"] == k), F.lit(0.0), lambda s, x: s + x["sign"]))
-    return unit(sums).cast("array<float>")
+    cells = F.transform(ngrams(clean(c), n), lambda g: F.struct(F.pmod(F.xxhash64(g), F.lit(dims)).alias("cell"), F.when(F.xxhash64(g, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
+    sums = lambda x: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(x, lambda y: y["cell"] == k), F.lit(0.0), lambda s, y: s + y["sign"]))
+    return unit(bound(cells, sums)).cast("array<float>")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from termweave.operators import hierarchy
 from termweave.operators.topk import ranked
+from termweave.sources.settled import settled
 
 METHODS = ("algorithm_1", "algorithm_2", "algorithm_ai", "multi_match", "elastic_fuzzy", "jaccard")
 
@@ -39,9 +40,10 @@ def clusters(candidates: DataFrame, isa: DataFrame | None, max_depth: int = 3) -
     """
     if isa is None:
         return candidates.withColumn("cluster", F.col("ord"))
+    candidates = settled(candidates)
     left = candidates.select("row_id", F.col("concept_id").alias("a"), F.col("ord").alias("i"))
     right = candidates.select("row_id", F.col("concept_id").alias("b"), F.col("ord").alias("j"))
-    pairs = left.join(right, "row_id").where("i < j")
+    pairs = settled(left.join(right, "row_id").where("i < j"))
     linked = hierarchy.related(pairs, isa, max_depth).where("related")
     found = pairs.join(linked, ["a", "b"]).groupBy("row_id").agg(F.collect_set(F.struct("i", "j")).alias("links"))
     sized = candidates.groupBy("row_id").agg(F.max("ord").alias("last")).join(found, "row_id")
@@ -76,7 +78,7 @@ def consensus(matches: DataFrame, isa: DataFrame | None = None, top_k: int = 3,
     (``common_ancestor``, no points of its own). Order: cluster points, own points, number of methods, then first
     appearance. The best ``final_top_k`` of each row stay. With no hierarchy every candidate is its own cluster.
     """
-    grouped = clusters(votes(matches, top_k, methods), isa, max_depth)
+    grouped = settled(clusters(votes(matches, top_k, methods), isa, max_depth))
     per = W.partitionBy("row_id", "cluster")
     members = grouped.withColumns(
         {

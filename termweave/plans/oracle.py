@@ -127,7 +127,7 @@ pool AS (SELECT doc_id AS concept_id, term FROM fld), {_jaccard("items", "pool",
 mat AS (SELECT query, 'multi_match' AS method, rank, doc_id, score FROM mm UNION ALL SELECT query, 'jaccard', rank, concept_id, jaccard_score FROM jc)"""
 LISTS = f"""{ITEMS}, lis AS (
   SELECT i.row_id, i.query, m.method, m.i, r.rank,
-         CAST((i.row_id * 7 + floor((r.rank * (m.i + 1)) / 2) * 3) % ((SELECT max(doc_id) FROM documents) + 1) AS BIGINT) AS doc_id
+         CAST((i.row_id * 7 + floor((r.rank * (m.i + 1)) / 2) * 10) % ((SELECT max(doc_id) FROM documents) + 1) AS BIGINT) AS doc_id
   FROM items i, (VALUES ('multi_match', 0), ('elastic_fuzzy', 1), ('jaccard', 2)) m(method, i), (SELECT unnest(range(1, 6)) AS rank) r)"""
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import prompts, text
 from termweave.operators import bm25, dense, fusion, generation, jaccard
+from termweave.sources.settled import settled
 from termweave.sources.sinks import Checkpoints
 
 
@@ -97,7 +98,7 @@ def retrieve(data: DataFrame, pools: Pools, cfg: MappingConfig, checkpoints: Che
     for method in cfg.methods:
         column, make = makers[method]
         settings = {"table": cfg.table_name, "query": cfg.query_column, "context": cfg.context_columns, "k": cfg.top_k, "n": cfg.ngram_size}
-        found = checkpoints.once(method, settings, make) if checkpoints else make()
+        found = checkpoints.once(method, settings, make) if checkpoints else settled(make())
         mine = data.select("row_id", F.coalesce(F.col(column).cast("string"), F.lit("") if column.endswith("_text") and column.startswith("algorithm") else F.lit(None)).alias("query"))
         rows = mine.join(found, "query").select("row_id", "query", F.lit(method).alias("method"), "rank", "concept_id", "text", F.col("score").cast("double").alias("score"), "source")
         out = rows if out is None else out.unionByName(rows)
@@ -106,8 +107,8 @@ def retrieve(data: DataFrame, pools: Pools, cfg: MappingConfig, checkpoints: Che
 
 def run(records: DataFrame, pools: Pools, cfg: MappingConfig, checkpoints: Checkpoints | None = None) -> dict[str, DataFrame]:
     """matches, comparison and final candidates of all records."""
-    data = prepare(records, cfg)
-    found = retrieve(data, pools, cfg, checkpoints)
+    data = settled(prepare(records, cfg))
+    found = settled(retrieve(data, pools, cfg, checkpoints))
     rows = data.select("row_id", F.col(f"`{cfg.query_column}`").cast("string").alias("query"))
     best = fusion.consensus(found, pools.isa, cfg.consensus_top_k, cfg.consensus_final_top_k, cfg.consensus_max_depth, cfg.methods)
     return {

@@ -213,7 +213,7 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
     n = docs.agg(F.max("doc_id").alias("top"))
     rows = a.items(spark, d).join(F.broadcast(n)).select("row_id", "query", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(i).alias("i")) for i, m in enumerate(METHODS)])).alias("m"), "top")
     places = rows.select("row_id", "query", "m.method", "m.i", "top", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
-    picked = places.withColumn("doc_id", (F.col("row_id") * 7 + F.floor((F.col("rank") * (F.col("i") + 1)) / 2) * 3) % (F.col("top") + 1))
+    picked = places.withColumn("doc_id", (F.col("row_id") * 7 + F.floor((F.col("rank") * (F.col("i") + 1)) / 2) * 10) % (F.col("top") + 1))
     return picked.join(docs, "doc_id").select("row_id", "query", "method", "rank", F.col("doc_id").cast("string").alias("concept_id"), "text", (F.lit(1.0) / F.col("rank")).alias("score"))
 
 

@@ -84,7 +84,8 @@ def concept_ids(concepts: DataFrame) -> DataFrame:
 
 
 def _of_active(df: DataFrame, concepts: DataFrame, column: str) -> DataFrame:
-    return df.join(concept_ids(concepts), F.col(column) == F.col("id"), "left_semi")
+    # release tables have an id column of their own
+    return df.join(concept_ids(concepts).select(F.col("id").alias("__concept")), F.col(column) == F.col("__concept"), "left_semi")
 
 
 def short_terms(concepts: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def isa(concepts: DataFrame, relationships: DataFrame) -> DataFrame:
 def bm25_documents(concepts: DataFrame, descriptions: DataFrame, texts: DataFrame) -> DataFrame:
     """(conceptId, term, definition, typeId): every active description with a term, once for each definition of its
     concept (null if it has none); nothing is made distinct."""
-    named = active(descriptions).join(concept_ids(concepts), F.col("conceptId") == F.col("id"), "inner").select("conceptId", "term", "typeId")
+    named = active(descriptions).select("conceptId", "term", "typeId").join(concept_ids(concepts).select(F.col("id").alias("conceptId")), "conceptId")
     told = active(texts).select("conceptId", F.col("term").alias("definition"))
     return named.join(told, "conceptId", "left").dropna(subset=["term"]).select("conceptId", "term", "definition", "typeId")
 
