@@ -24,13 +24,13 @@ def _lines(text: Column) -> Column:
     return F.filter(every, lambda x: x["line"].rlike(HAS_WORD))
 
 
-def _named(places: DataFrame, keys: list[str]) -> DataFrame:
+def _named(places: DataFrame, keys: list[str], scratch: shared.Scratch, table: str) -> DataFrame:
     """``places`` (doc, seq, i, *keys) whose keys occur more than once, with the first place as ``name``.
 
-    Names are counted by partial aggregates before anything moves; a key of a third of all rows meets its one name
-    in a join that Spark can split.
+    Names are counted by partial aggregates before anything moves. They are written, and so stand in the join as a
+    table of their own: a key of a third of all rows meets its one name in a join that Spark can split or broadcast.
     """
-    names = places.groupBy(*keys).agg(F.min(F.struct("doc", "seq")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    names = scratch.keep(places.groupBy(*keys).agg(F.min(F.struct("doc", "seq")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), table)
     return places.join(names, keys, "inner").select("doc", "seq", "i", "name")
 
 
@@ -38,9 +38,10 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id",
     """doc and the sorted numbers (from 0, over all lines) of its lines that lie in a later copy of a run."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
+    scratch = shared.Scratch(docs.sparkSession, "line-runs")
     data = shared.texts(docs, id_col, text_col).where("text is not null")
     places = data.select(F.col("doc_id").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("seq", "x")).select("doc", "seq", F.col("x.i").alias("i"), F.unhex(F.md5("x.line")).alias("key"))
-    named = _named(places, ["key"])
+    named = scratch.keep(_named(places, ["key"], scratch, "lines"), "named-1")
     order = W.partitionBy("doc").orderBy("seq")  # a document's own lines only
     span = 1
     while span < min_lines:
@@ -48,8 +49,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id",
         ahead = named.withColumn("later", F.first(F.struct("seq", "name")).over(order.rowsBetween(step, step)))
         # rows between here and there may be missing (lines that occur once), so look at the number too
         pairs = ahead.where(F.col("later.seq") == F.col("seq") + step).select("doc", "seq", "i", F.col("name").alias("head"), F.col("later.name").alias("tail"))
-        named = _named(pairs, ["head", "tail"])
         span += step
+        named = scratch.keep(_named(pairs, ["head", "tail"], scratch, f"pairs-{span}"), f"named-{span}")
     later = named.where((F.col("name.seq") != F.col("seq")) | ~F.col("name.doc").eqNullSafe(F.col("doc")))
     return later.select("doc", F.explode(F.sequence(F.col("seq"), F.col("seq") + (min_lines - 1))).alias("seq")).groupBy("doc").agg(F.array_sort(F.collect_set("seq")).alias("gone"))
 
@@ -68,12 +69,17 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", tex
     both = at.join(gone, F.col("__id").eqNullSafe(F.col("doc")), "left")
     text = F.col("__row")[text_col].cast("string")
     numbered = _lines(text)
-    bad = F.transform(F.filter(F.transform(numbered, lambda x, k: F.struct(k.alias("k"), x["i"].alias("i"))), lambda x: F.array_contains("gone", x["k"])), lambda x: x["i"])
-    every = F.split(text, "\n", -1)
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains(F.col("bad"), i)), "\n"))
-    marked = both.withColumn("bad", F.when(F.col("gone").isNotNull(), bad))
+
+    def without(s: Column) -> Column:
+        # s is a lambda's variable, so its arrays are made once and not again for every line
+        bad = F.transform(s["gone"], lambda k: F.get(s["number"], k))
+        left = F.array_except(F.sequence(F.lit(0), F.size(s["every"]) - 1), bad)  # hashed: in proportion to the lines
+        return F.array_join(F.transform(left, lambda i: F.get(s["every"], i)), "\n")
+
+    arrays = F.struct(F.split(text, "\n", -1).alias("every"), F.transform(numbered, lambda x: x["i"]).alias("number"), F.col("gone").alias("gone"))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.get(F.transform(F.array(arrays), without), F.lit(0)))
     rest = [kept.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in keep]
-    return marked.select(*rest, F.coalesce(F.size(numbered), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
+    return both.select(*rest, F.coalesce(F.size(numbered), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
 SQL = r"""

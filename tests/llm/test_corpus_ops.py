@@ -235,10 +235,10 @@ def test_leaks(spark):
         planted[100 + k] = k
         rows.append((100 + k, prose(rng, rng.randint(0, 200)) + " " + ", ".join(words) + ". " + prose(rng, rng.randint(0, 200))))
     rows.append((100, rows[-12][1]))
-    small = latent_leaks.Leaks(bits=12, rank=24, oversample=8)
+    small = latent_leaks.Leaks(bits=12, rank=48, oversample=8, cosine=0.3)
     found = latent_leaks.find_leaks(frame(spark, rows), benchmark, small).collect()
     assert {(r.doc_id, r.item_id) for r in found} == set(planted.items()) and len(found) == 13
-    two = latent_leaks.find_leaks(frame(spark, rows), benchmark, latent_leaks.Leaks(bits=12, rank=24, oversample=8, block_items=5)).collect()
+    two = latent_leaks.find_leaks(frame(spark, rows), benchmark, latent_leaks.Leaks(bits=12, rank=48, oversample=8, cosine=0.3, block_items=5)).collect()
     assert {(r.doc_id, r.item_id) for r in two} == set(planted.items())
     assert latent_leaks.find_leaks(frame(spark, rows), benchmark.limit(0), small).count() == 0
     assert latent_leaks.find_leaks(frame(spark, rows).limit(0), benchmark, small).count() == 0
