@@ -334,7 +334,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
 
     # of several rows with one id, those of another set than the wanted one only add sets that are linked alike
     held = shared.IdFilter.hashed(data, "doc_id").mapInArrow(tokens_of, "doc_id long, tokens binary")
-    rows = held.join(wanted.hint("merge"), "doc_id")  # one plan at every size.select("set_id", "family", "bundle", "bundles", "tokens")
+    # a merge join, so that the plan is one at every size
+    rows = held.join(wanted.hint("merge"), "doc_id").select("set_id", "family", "bundle", "bundles", "tokens")
     tokens = scratch.keep(rows, "tokens")
     scratch.tidy()
     plain = F.lit(None).cast("long")
