@@ -66,7 +66,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", tex
     gone = repeated_lines(docs, min_lines, id_col, text_col)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     at = docs.select(F.col(id_col).cast("long").alias("__id"), F.struct(*[docs[c] for c in keep]).alias("__row"))
-    both = at.join(gone, F.col("__id").eqNullSafe(F.col("doc")), "left")
+    both = at.join(gone.hint("merge"), F.col("__id").eqNullSafe(F.col("doc")), "left")
     text = F.col("__row")[text_col].cast("string")
     numbered = _lines(text)
 
