@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written and read again before the next one.
 
 1. language_id: documents without any language (no text, no letter), or that no language's regressor claims, go.
-2. line_dedup: later copies of runs of two or more lines are deleted from the texts; emptied documents go.
+2. line_dedup: later copies of lines, single ones and runs, are deleted from the texts; emptied documents go.
 3. near_duplicates: of documents linked by five-word shingles at Jaccard 0.8, the smallest id stays.
 4. decontamination: documents that hold an item of the benchmark table go.
 5. tokenise: SentencePiece ids of what is left, with decoded and compared texts.
@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes repeated line runs; n_chars follows the text. A document all of whose lines are copies goes."""
-    out = line_runs.dedup_lines(docs)
+    """Deletes repeated lines, alone or in runs; n_chars follows the text. A document all of whose lines are copies goes."""
+    out = line_runs.dedup_lines(docs, min_lines=1)
     left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -162,6 +162,14 @@ def test_line_runs_edges(spark):
     check(spark, queries.QUERIES["op10_line_runs"], line_runs.SQL)
 
 
+def test_line_dedup_stage_takes_single_lines(spark):
+    """A repeated line between neighbours that differ is no run of two lines, and a copy all the same."""
+    rows = [(i, f"own {i} a\nshared boilerplate line\nown {i} b") for i in range(5)] + [(9, "shared boilerplate line"), (10, "only here")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
+    want = {i: f"own {i} a\nown {i} b" for i in range(1, 5)} | {0: rows[0][1], 10: "only here"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def brute_repeats(rows, length):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = {}
