@@ -252,6 +252,17 @@ def test_leaks(spark):
     assert latent_leaks.find_leaks(frame(spark, rows).limit(0), benchmark, small).count() == 0
 
 
+def test_item_in_a_hot_group(spark):
+    """An item that leaked into a third of all documents has frequent words only, and is found in them and elsewhere."""
+    rng = random.Random(5)
+    item = prose(rng, 30)
+    rows = [(i, item) for i in range(60)] + [(100 + i, prose(rng, 60)) for i in range(110)]
+    rows += [(300 + i, prose(rng, 40) + " " + item + " " + prose(rng, 40)) for i in range(10)]
+    benchmark = spark.createDataFrame([(1, item), (2, prose(rng, 30))], "item_id long, text string")
+    found = latent_leaks.find_leaks(frame(spark, rows), benchmark, latent_leaks.Leaks(bits=12, rank=48, oversample=8)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, 1) for i in [*range(60), *range(300, 310)]}
+
+
 def test_recall_of_verbatim_items(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
