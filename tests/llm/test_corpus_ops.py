@@ -9,6 +9,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle_check import SF, check
 from pyspark.sql import functions as F
@@ -263,6 +264,36 @@ def test_item_in_a_hot_group(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, 1) for i in [*range(60), *range(300, 310)]}
 
 
+def test_recall_with_production_parameters(spark):
+    """A full block of items, verbatim and with words replaced: all planted leaks that the rule calls one are found."""
+    p = latent_leaks.Leaks()
+    rng = random.Random(3)
+    texts = [r.text.split() for r in spark.read.parquet(f"{SF.rsplit('/', 1)[0]}/sf0.01/documents.parquet").select("text").orderBy("doc_id", "text").collect() if r.text]
+    texts = [w for w in texts if 150 < len(w) < 3000]
+    items = []
+    while len(items) < p.block_items:
+        w, n = rng.choice(texts), rng.randint(15, 59)
+        a = rng.randrange(len(w) - n)
+        items.append(w[a : a + n])
+    rows, must = [], set()
+    for share in (0, 0.2, 0.35):
+        for i, w in enumerate(items):
+            planted = [x if rng.random() >= share else rng.choice(rng.choice(texts)) for x in w]
+            host = rng.choice(texts)
+            a = rng.randrange(len(host))
+            one, two = (latent_leaks._words(pa.array([" ".join(x)]))[0].tolist() for x in (w, planted))
+            where = {}
+            for k, x in enumerate(one):
+                where[x] = where.get(x, 0) | 1 << k
+            if latent_leaks.common_words(where, len(one), two) >= p.verbatim * len(one):  # a leak whatever the answer words
+                must.add((len(rows), i))
+            rows.append((len(rows), " ".join(host[max(0, a - 300) : a] + planted + host[a : a + 300])))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(frame(spark, rows), benchmark).collect()}
+    assert {(i, i) for i in range(p.block_items)} <= must
+    assert not must - found
+
+
 def test_recall_of_verbatim_items(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
