@@ -193,16 +193,17 @@ def related_pairs_lineage(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.related(_pairs(spark, d), a.geography(spark, d, False), 2, "lineage")
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
-    """Three lexical methods' five best documents for every benchmark item."""
-    rows, docs = a.items(spark, d), a.fielded(spark, d)
+def _matches(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Three lexical methods' five best documents for every benchmark item (``whole``: its whole text, and Jaccard over whole documents)."""
+    rows, docs = a.whole_items(spark, d) if whole else a.items(spark, d), a.fielded(spark, d)
     index = bm25.build_index(docs)
     names = docs.select("doc_id", "concept_id", F.col("term").alias("text"))
     out = None
     for method, found in (("multi_match", bm25.multi_match(rows, index, "query", 5)), ("elastic_fuzzy", bm25.fuzzy_match(rows, index, "query", 5))):
         part = found.join(names, "doc_id").select("query", F.lit(method).alias("method"), "rank", "concept_id", "text", "score")
         out = part if out is None else out.unionByName(part)
-    sim = jaccard.match(rows, docs, "query", "term", "doc_id", 5, 3, text.clean)
+    pool = a.table(spark, d, "documents").select("doc_id", F.col("text").alias("term")) if whole else docs
+    sim = jaccard.match(rows, pool, "query", "term", "doc_id", 5, 3, text.clean)
     out = out.unionByName(sim.select("query", F.lit("jaccard").alias("method"), "rank", F.col("concept_id").cast("string").alias("concept_id"), F.col("term").alias("text"), F.round("jaccard_score", 6).alias("score")))
     return rows.join(out, "query").select("row_id", "query", "method", "rank", "concept_id", "text", "score")
 
@@ -224,7 +225,7 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 def method_comparison_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """The same with typo-tolerant matches; SQL's edit distance differs from ours beyond one edit, so there is none."""
-    return fusion.comparison(a.items(spark, d), _matches(spark, d), METHODS)
+    return fusion.comparison(a.whole_items(spark, d), _matches(spark, d, whole=True), METHODS)
 
 
 def vote_aggregation(spark: SparkSession, d: str) -> DataFrame:
