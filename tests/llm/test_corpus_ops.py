@@ -64,58 +64,93 @@ def brute_components(rows, join):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("join", [signature_trees.Join(3, 90, 100), signature_trees.Join(), signature_trees.Join(2, 90, 100, bundle_sets=3)])
+@pytest.mark.parametrize("join", [signature_trees.Join(3, 90, 100), signature_trees.Join(), signature_trees.Join(2, 90, 100, slice_sets=3), signature_trees.Join(2, 30, 100, order_bits=12, slice_sets=5, few=1)])
 def test_near_duplicates(spark, join):
     rows = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_trees.near_duplicates(frame(spark, rows), join).collect()}
     assert got == brute_components(rows, join)
 
 
-def test_chains_in_small_bundles(spark):
-    """Links that hold only from neighbour to neighbour, spread over many bundles."""
+def test_chains_in_small_slices(spark):
+    """Links that hold only from neighbour to neighbour, spread over many slices."""
     rng = random.Random(8)
     text = prose(rng, 120).split(" ")
     rows = []
     for k in range(60):
         text[rng.randrange(len(text))] = f"step{k}"
         rows.append((k, " ".join(text)))
-    join = signature_trees.Join(3, 85, 100, bundle_sets=4)
+    join = signature_trees.Join(3, 85, 100, slice_sets=4, few=1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_trees.near_duplicates(frame(spark, rows), join).collect()}
     assert got == brute_components(rows, join)
 
 
-def test_classes_never_miss_a_pair():
+def test_entries_never_miss_a_pair():
+    """Whatever the token order, linked sets keep entries of a common token, also sets of one token."""
     rng = np.random.default_rng(3)
-    for join in (signature_trees.Join(3, 90, 100), signature_trees.Join()):
-        bands = join.bands(4000)
-        lows = np.array([b[0] for b in bands])
+    for join in (signature_trees.Join(3, 90, 100, order_bits=12), signature_trees.Join(order_bits=12)):
+        levels = rng.integers(1, 200, 1 << 12).astype(np.uint8)
         for size in (1, 2, 9, 10, 11, 19, 20, 57, 200, 1000):
             for _ in range(5):
                 a = rng.integers(1, 2**63, size, dtype=np.uint64)
                 most = (2 * size * (join.den - join.num)) // (join.den + join.num)
-                swap, grow = most // 2 - most % 1, most
-                for drop, add in ((swap, swap), (0, grow), (grow, 0), (grow // 3, grow - grow // 3)):
+                for drop, add in ((most // 2, most // 2), (0, most), (most, 0), (most // 3, most - most // 3)):
                     b = np.concatenate([a[drop:], rng.integers(1, 2**63, add, dtype=np.uint64)])
-                    both = size - drop
-                    if len(b) and join.linked(len(a), len(b), both):
-                        x = set(signature_trees.class_keys(np.unique(a), join, bands, lows).tolist())
-                        assert x & set(signature_trees.class_keys(np.unique(b), join, bands, lows).tolist()), (size, drop, add)
+                    if len(b) and join.linked(len(a), len(b), size - drop):
+                        both = [signature_trees.entries_of(np.unique(x), i, levels, join)[0] for i, x in enumerate((a, b))]
+                        left = signature_trees.meeting(np.concatenate(both), join)
+                        assert {0, 1} <= set(left["set"].tolist()), (size, drop, add)
 
 
-def test_tree_prunes_without_loss():
+@pytest.mark.parametrize("sliced", [False, True])
+def test_tree_prunes_without_loss(sliced):
     rng = random.Random(6)
-    pool = [np.unique(np.array([rng.getrandbits(63) for _ in range(60)], np.uint64)) for _ in range(30)]
-    sets = [np.unique(np.concatenate([p[: rng.randint(50, 60)], np.array([rng.getrandbits(63) for _ in range(rng.randint(0, 4))], np.uint64)])) for p in pool for _ in range(3)]
-    join = signature_trees.Join(5, 80, 100)
-    forest = signature_trees.Forest(len(sets))
-    tree = signature_trees.SignatureTree(sets, list(range(len(sets))), 512, 4)
-    tried = signature_trees.traverse(tree.root, tree.root, sets, join, forest)
-    plain = signature_trees.Forest(len(sets))
-    for i, j in itertools.combinations(range(len(sets)), 2):
-        if join.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j]))):
-            plain.join(i, j)
-    assert [forest.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
-    assert tried < len(sets) * (len(sets) - 1) // 8
+    pool = [np.unique(np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)) for n in (60, 62, 64, 66, 128, 131, 70) for _ in range(5)]
+    sets = [np.unique(np.concatenate([p[: rng.randint(len(p) - 10, len(p))], np.array([rng.getrandbits(63) for _ in range(rng.randint(0, 4))], np.uint64)])) for p in pool for _ in range(3)]
+    join = signature_trees.Join(5, 80, 100, fanout=4)
+    n = np.array([len(x) for x in sets])
+    side = np.arange(len(sets)) % 2 * sliced
+    order = np.argsort(side, kind="stable")
+    component = np.where(np.arange(len(sets)) % 5 == 0, 7, 100 + np.arange(len(sets)))
+    m = signature_trees.Members(np.zeros(len(sets), int), side[order], np.full(len(sets), sliced), n[order], n[order], component[order], [signature_trees.signature(sets[k]) for k in order])
+    got = {tuple(sorted(order[[a, b]].tolist())) for x, y, _ in signature_trees.survivors(m, join) for a, b in zip(x, y, strict=True)}
+    meet = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if component[i] != component[j] and (not sliced or side[i] != side[j])]
+    want = {(i, j) for i, j in meet if join.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j])))}
+    assert want and want <= got
+    assert len(got) < len(want) + len(meet) // 50
+
+
+def test_whole_groups():
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(30), rng.randrange(3)) for _ in range(400))
+    cut = [0, *sorted(rng.sample(range(400), 40)), 400]
+    names = [x.split()[0] for x in signature_trees.MEMBER.split(", ")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.int64()), pa.array([k for _, k in part], pa.int64()), *[pa.array([0] * len(part))] * 6, pa.array([b"x" * 8] * len(part))], names=names) for part in (rows[a:b] for a, b in itertools.pairwise(cut))]
+    out = [[(t, k) for b in held for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)] for held in signature_trees.whole_groups(iter(batches), rows=10)]
+    assert [x for part in out for x in part] == rows
+    assert all(a[-1] != b[0] for a, b in itertools.pairwise(out)) and len(out) > 5
+
+
+def test_near_duplicates_edges(spark):
+    """Empty tables, null and shared ids, repeated rows, a text of over a megabyte, a hot token dealt to several buckets."""
+    rng = random.Random(9)
+    text = prose(rng, 60)
+    long = prose(rng, 220_000)
+    assert signature_trees.near_duplicates(frame(spark, [(1, "a")]).limit(0)).count() == 0
+    rows = [(None, text), (5, text), (5, "another text of some words here"), (7, text), (7, text), (9, long), (8, long + " end"), (10, None), (None, None), (11, edited(rng, text, 1)), (12, "another text of some words here")]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in signature_trees.near_duplicates(frame(spark, rows)).collect())
+    size = {t: len(shingles(t, 5)) for _, t in rows}
+    name = {text: 5, rows[9][1]: 5, long: 8, rows[6][1]: 8, rows[2][1]: 5}
+    assert got == sorted((str(i), size[t], name.get(t, i)) for i, t in rows)
+
+
+def test_hot_tokens_in_several_buckets(spark):
+    rows, join = corpus(3), signature_trees.Join(hot=2)
+    assert signature_trees._salts(np.array([0, 8, 16, 40], np.uint8), join).tolist() == [1, 1, 2, 16]
+    entries = np.zeros(4, signature_trees.ENTRY)
+    entries["token"], entries["set"], entries["n"] = 5, [1, 2, 3, 4], 9
+    assert len(signature_trees.meeting(entries, signature_trees.Join())) == 4
+    got = {r.doc_id: r.component_id for r in signature_trees.near_duplicates(frame(spark, rows), join).collect()}
+    assert got == {k: c for k, (_, c) in brute_components(rows, signature_trees.Join()).items()}
 
 
 def test_near_duplicates_same_as_sql(spark):
