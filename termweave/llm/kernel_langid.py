@@ -9,12 +9,13 @@ the rest, and texts are scored in batches by two matrix products: presence x lan
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm import shared
@@ -24,12 +25,10 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class KernelParams:
-    """``bits``: buckets of the n-grams of length 1, 2, 3 as powers of two. ``per_language`` and
-    ``max_languages`` bound the training sample; languages beyond the most frequent ones are not learned."""
+    """``bits``: buckets of the n-grams of length 1, 2, 3 as powers of two. ``per_language`` bounds the training sample."""
 
     bits: tuple[int, ...] = (10, 12, 14)
     per_language: int = 400
-    max_languages: int = 256
     landmarks: int = 128
     ridge: float = 1e-3
     step_chars: int = 1 << 20
@@ -48,7 +47,7 @@ class KernelModel:
 
 @functools.cache
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def presence(text: str | None, params: KernelParams, out: np.ndarray) -> bool:
@@ -61,7 +60,7 @@ def presence(text: str | None, params: KernelParams, out: np.ndarray) -> bool:
     for at in range(0, len(text), params.step_chars):
         part = text[max(0, at - overlap) : at + params.step_chars].lower()
         code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
-        letter = np.where(code < 0x10000, _letters()[np.minimum(code, 0xFFFF)], True)
+        letter = _letters()[code]
         any_letter |= bool(letter.any())
         code = np.where(letter, code, np.uint32(32))
         code = code[np.concatenate([[True], letter[1:] | letter[:-1]])]  # one blank between words
@@ -109,18 +108,25 @@ def fit(rows: list[tuple[str, bytes]], params: KernelParams) -> KernelModel:
 
 
 def train(labelled: DataFrame, params: KernelParams = KernelParams(), text_col: str = "text", lang_col: str = "lang") -> KernelModel:
-    """Learns from a bounded sample of ``labelled``: of each language the rows whose text hash comes first.
+    """Learns from a bounded sample of ``labelled``: of each language the different texts whose hash comes first.
 
-    Rows with null language, or text without letters, teach nothing. Only packed n-gram sets of at most
-    ``per_language`` x ``max_languages`` rows reach the driver (a few KB each), never texts.
+    Rows with null language, or text without letters, teach nothing. A text of very many copies counts once a language,
+    and each language is cut to ``per_language`` texts on the executors, so only that many packed n-gram sets of a language
+    reach the driver (a few KB each), never texts.
     """
     data = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = data.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()
     spread = 1 << 40
-    # 1.5 x the rows wanted on average, then exactly the first per_language of them
-    limit = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(spread, int(spread * 1.5 * params.per_language / r["count"]) + 1))) for r in counts], F.lit(0)) if counts else F.lit(0)
     place = F.xxhash64("text").bitwiseAND(spread - 1)
-    sample = data.withColumn("place", place).where(F.col("place") < limit)
+    data = data.withColumn("place", place)
+    counts = data.groupBy("lang").agg(F.approx_count_distinct("place").alias("count")).collect()  # one row a language
+    # twice the texts wanted on average, then exactly the first per_language of them
+    limit = F.lit(0).cast("long")
+    for rows in itertools.batched(counts, 64):
+        found = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(spread, int(spread * 2 * params.per_language / max(1, r["count"])) + 1))) for r in rows])
+        limit = F.coalesce(found, limit)
+    few = data.where(F.col("place") < limit).groupBy("lang", "place").agg(F.first("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    sample = few.withColumn("turn", first).where(F.col("turn") <= params.per_language).select("text", "lang", "place")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.steps(batches, 0):
@@ -134,11 +140,7 @@ def train(labelled: DataFrame, params: KernelParams = KernelParams(), text_col:
 
     packed = sample.mapInArrow(pack, "lang string, place long, bits binary")
     found = sorted(((r["lang"], r["place"], bytes(r["bits"])) for r in packed.toLocalIterator()))
-    rows, seen = [], {}
-    for lang, _, bits in found:
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= params.per_language:
-            rows.append((lang, bits))
+    rows = [(lang, bits) for lang, _, bits in found]
     return fit(rows, params) if rows else KernelModel((), np.zeros((buckets(params), 0), np.float32), np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), params)
 
 

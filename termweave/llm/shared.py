@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,8 +55,16 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """Gives a Python worker's unused memory back: workers of earlier stages stay alive beside those of the next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices whose texts (column number ``text``) hold at most ``limit`` bytes, one row at least."""
+    release()
     for batch in batches:
         column = batch.column(text)
         if not batch.num_rows:
@@ -67,6 +77,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: int, limit: int = STEP_BYTES)
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    release()
 
 
 def table_partitions(spark: SparkSession) -> int:

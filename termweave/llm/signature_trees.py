@@ -43,7 +43,7 @@ class Join:
     words: int = 5
     num: int = 80
     den: int = 100
-    order_bits: int = 22  # counters of the token order
+    order_bits: int = 24  # counters of the token order
     hot: int = 1 << 16  # texts of one token from which its entries are dealt to several buckets
     slice_sets: int = 1024
     few: int = 3
@@ -125,8 +125,8 @@ def token_counts(data: DataFrame, join: Join) -> tuple[np.ndarray, int]:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """OR bitmap of 4 to 8 bits for each token, 256 at least."""
-    width = 1 << max(8, (4 * len(tokens) - 1).bit_length())
+    """OR bitmap of 2 to 4 bits for each token, 256 at least."""
+    width = 1 << max(8, (2 * len(tokens) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(tokens & U64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -285,7 +285,7 @@ class Members:
 def _leaves(m: Members, c: int, width: np.ndarray, join: Join) -> tuple[np.ndarray, Level]:
     """Members whose bitmaps have 2^c bits, and guests: larger ones, folded to as many, that may be linked with them."""
     own = np.flatnonzero(width == c)
-    guest = np.flatnonzero((width > c) & (join.num * m.n <= join.den * ((1 << c) // 4)))
+    guest = np.flatnonzero((width > c) & (join.num * m.n <= join.den * ((1 << c) // 2)))
     guest = guest[np.isin(m.group[guest], m.group[own])]
     words = (1 << c) // 64
     fold = lambda b: np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0)
@@ -467,7 +467,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
 
     Every text is parsed twice (token order, sketch), and one text of each set in a pair that bitmaps leave once or twice
     more. What crosses the network: 24 bytes for each of a set's first tokens that another text may have (a fifth of
-    the shingles at 0.8), a bitmap of 4 to 8 bits a token for the sets that meet others, and the tokens of pairs left.
+    the shingles at 0.8), a bitmap of 2 to 4 bits a token for the sets that meet others, and the tokens of pairs left.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "signature-trees")
@@ -504,11 +504,9 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
         near = shared.IdFilter(wanted, "rep")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                batch = batch.filter(pa.array(near.passing(batch.column(2))))
-                for some in shared.steps(iter([batch]), 1):
-                    found = [(set_name(x), x.tobytes()) for x in shingle_sets(some.column(1), join.words) if len(x)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["set_id", "tokens"])
+            for some in shared.steps((b.filter(pa.array(near.passing(b.column(2)))) for b in batches), 1):
+                found = [(set_name(x), x.tobytes()) for x in shingle_sets(some.column(1), join.words) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["set_id", "tokens"])
 
         rows = shared.IdFilter.hashed(data, "doc_id").mapInArrow(run, "set_id long, tokens binary")
         return scratch.keep(rows.join(wanted.select("set_id").hint("merge"), "set_id", "left_semi").groupBy("set_id").agg(F.first("tokens").alias("tokens")), table)

@@ -284,10 +284,21 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in found} == set(planted.items()) and len(found) == 13
     two = latent_leaks.find_leaks(frame(spark, rows), benchmark, latent_leaks.Leaks(bits=12, rank=48, oversample=8, cosine=0.3, block_items=5)).collect()
     assert {(r.doc_id, r.item_id) for r in two} == set(planted.items())
+    many = latent_leaks.find_leaks(frame(spark, rows), benchmark, latent_leaks.Leaks(bits=12, rank=48, oversample=8, cosine=0.3, block_items=2, scan_blocks=2)).collect()
+    assert {(r.doc_id, r.item_id) for r in many} == set(planted.items())
     assert latent_leaks.find_leaks(frame(spark, rows), benchmark.limit(0), small).count() == 0
     assert latent_leaks.find_leaks(frame(spark, rows).limit(0), benchmark, small).count() == 0
 
 
+def test_short_items(spark):
+    """Four to seven words anywhere in a text, fewer as a whole line; punctuation and case do not count."""
+    benchmark = spark.createDataFrame([(1, "who was the first king"), (2, "Yes."), (3, "two words"), (4, "?"), (None, "a null id of five words")], "item_id long, text string")
+    rows = [(1, "so: Who was the FIRST king? he"), (2, "who was the first queen"), (3, "yes"), (4, "oh yes it is"), (5, "some line\ntwo, words!\nthe end"), (6, "two words more"), (7, "has a null id, of five words"), (8, ""), (None, "who was the first king"), (9, "yes\nyes"), (10, "two\nwords")]
+    found = latent_leaks.find_leaks(frame(spark, rows), benchmark).collect()
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in found) == sorted([("1", "1"), ("None", "1"), ("3", "2"), ("9", "2"), ("5", "3"), ("7", "None")])
+    assert {r.kind for r in found} == {"short"}
+
+
 def test_item_in_a_hot_group(spark):
     """An item that leaked into a third of all documents has frequent words only, and is found in them and elsewhere."""
     rng = random.Random(5)
