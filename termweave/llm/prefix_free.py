@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,9 @@ TRIGGER = 8
 U64 = np.uint64
 COVERED, WINDOWS = 0, 1  # what a mark says about a cut
 PLAIN, SEVERAL, MIXED = 0, 1, 2  # what an entry stands for: one cut; equal cuts; cuts of one core in unlike places
-CUT = np.dtype([("core", "<u8"), ("full", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("gap", "u1"), ("kind", "u1")])
-MARKS = "bucket int, doc long, start int, extra int, kind int, entries binary"
+CUT = np.dtype([("core", "<u8"), ("full", "<u8"), ("doc", "<i8"), ("own", "<i4"), ("pos", "<i4"), ("gap", "u1"), ("kind", "u1")])
+MARKS = "bucket int, doc long, own int, start int, extra int, kind int, entries binary"
+MARK_NAMES = [x.split()[0] for x in MARKS.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -69,8 +71,8 @@ def cuts(data: np.ndarray, reach: int) -> np.ndarray:
     return (U64(0xFFFFFFFF) - key[np.concatenate([[True], key[1:] != key[:-1]])]).astype(np.int64)
 
 
-def parse(column: pa.Array, docs: np.ndarray, p: Repeats) -> np.ndarray:
-    """An entry for every cut that is the anchor of a window."""
+def parse(column: pa.Array, docs: np.ndarray, own: np.ndarray, p: Repeats, serial: int = 0) -> np.ndarray:
+    """An entry for every cut that is the anchor of a window. ``serial``: number of the first text, other for every text."""
     data, bounds = wordhash.joined(column)
     at = cuts(data, p.reach)
     doc = np.searchsorted(bounds, at, "right") - 1
@@ -88,9 +90,9 @@ def parse(column: pa.Array, docs: np.ndarray, p: Repeats) -> np.ndarray:
     whole = (left >= low) & (right <= high)
     second = wordhash.prefix_sums(data, 1)
     out["full"][whole] = wordhash.span_hashes(second, left[whole], right[whole], 1)
-    out["doc"], out["pos"], out["gap"] = docs[doc], at - low, gap
-    # a cut near a text's end has no full string: its own place stands for it, equal to nothing else
-    out["full"][~whole] = wordhash.mix(wordhash.mix(out["doc"][~whole].view(np.uint64)) + (at - low)[~whole].astype(np.uint64))
+    out["doc"], out["own"], out["pos"], out["gap"] = docs[doc], own[doc], at - low, gap
+    # a cut near a text's end has no full string: its own place stands for it, equal to nothing else, not even in a row's copy
+    out["full"][~whole] = wordhash.mix(wordhash.mix((serial + doc[~whole]).astype(np.uint64) ^ U64(0x5851F42D4C957F2D)) + (at - low)[~whole].astype(np.uint64))
     return out
 
 
@@ -123,7 +125,7 @@ def _local(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _met(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a bucket's entries: cuts covered, and cuts to look at by windows."""
-    order, core, full = _classes(e["core"], np.where(e["kind"] == MIXED, wordhash.mix(e["doc"].view(np.uint64) ^ U64(99)) + e["pos"].astype(np.uint64), e["full"]))
+    order, core, full = _classes(e["core"], np.where(e["kind"] == MIXED, wordhash.mix(e["doc"].view(np.uint64) ^ U64(99)) + e["own"].astype(np.uint64) + (e["pos"].astype(np.uint64) << U64(32)), e["full"]))
     e = e[order]
     if not len(e):
         return e, e
@@ -136,10 +138,10 @@ def _met(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[together & (e["kind"] == PLAIN)], e[(size > 1) & ~mixed & unlike & ((weight < 2) | first)]
 
 
-def _marks(docs, starts, extra, kind: int, bucket) -> pa.RecordBatch:
+def _marks(docs, own, starts, extra, kind: int, bucket) -> pa.RecordBatch:
     n = len(docs)
-    columns = [pa.array(np.asarray(bucket, np.int32)), pa.array(np.asarray(docs, np.int64)), pa.array(np.asarray(starts, np.int32)), pa.array(np.asarray(extra, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "doc", "start", "extra", "kind", "entries"])
+    columns = [pa.array(np.asarray(bucket, np.int32)), pa.array(np.asarray(docs, np.int64)), pa.array(np.asarray(own, np.int32)), pa.array(np.asarray(starts, np.int32)), pa.array(np.asarray(extra, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=MARK_NAMES)
 
 
 def _blobs(entries: np.ndarray, key: np.ndarray, buckets: int, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -151,18 +153,18 @@ def _blobs(entries: np.ndarray, key: np.ndarray, buckets: int, most: int = 1 <<
         some = parts[i : i + 256]
         n = len(some)
         blank = pa.nulls(n, pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.nulls(n, pa.int64()), blank, blank, blank, pa.array([x for _, x in some], pa.binary())], names=["bucket", "doc", "start", "extra", "kind", "entries"])
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.nulls(n, pa.int64()), blank, blank, blank, blank, pa.array([x for _, x in some], pa.binary())], names=MARK_NAMES)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch | np.ndarray]:
     """Marks as they come, and each bucket's entries as one array (rows are sorted by bucket)."""
     now, held = None, []
     for batch in batches:
-        marks = batch.filter(pc.is_null(batch.column(5)))
+        marks = batch.filter(pc.is_null(batch.column(6)))
         if marks.num_rows:
             yield marks
-        rest = batch.filter(pc.is_valid(batch.column(5)))
-        for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(5).to_pylist(), strict=True):
+        rest = batch.filter(pc.is_valid(batch.column(6)))
+        for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(6).to_pylist(), strict=True):
             if bucket != now and held:
                 yield np.frombuffer(b"".join(held), kind)
                 held = []
@@ -176,47 +178,53 @@ def _spread(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (wordhash.mix(docs.view(np.uint64)) % U64(buckets)).astype(np.int32)
 
 
-WINDOW = np.dtype([("core", "<u8"), ("own", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("kind", "u1")])
+WINDOW = np.dtype([("core", "<u8"), ("text", "<u8"), ("doc", "<i8"), ("own", "<i4"), ("pos", "<i4"), ("kind", "u1")])
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges the windows of each document that touch: document, start, end."""
+def _runs(doc: np.ndarray, own: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Merges the windows of each document that touch: document (both names), start, end."""
     if not len(doc):
-        return doc, start, start
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype(np.int64)
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)])
+        return doc, own, start, start
+    order = np.lexsort((start, own, doc))
+    doc, own, start = doc[order], own[order], start[order].astype(np.int64)
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (start[1:] > start[:-1] + length)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], start[first], start[last] + length
+    return doc[first], own[first], start[first], start[last] + length
 
 
 def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes (``kept``) of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and if asked for the kept bytes (``kept``) and
+    ``text``, which is the same without characters that were cut in two.
 
     Removes each byte covered by a string of ``length`` UTF-8 bytes that also starts anywhere else in the input, in
-    the same document too; all copies go, judged on the input. A null text is empty. Kept bytes may cut a
-    character, so ``kept`` is binary. Ids must tell documents apart (a null id counts as one more); rows repeated
-    whole are copies of each other. Extra columns are ignored. Strings are compared by 128-bit fingerprints.
+    the same document too; all copies go, judged on the input. A null text is empty. Rows are told apart by 96 bits of id
+    and text, so null and shared ids do no harm; rows repeated whole are copies of each other. Extra columns are
+    ignored; an empty table gives an empty one. Strings are compared by 128-bit fingerprints.
 
-    Texts cross the network once for the result, and those with border windows once more; about one 30-byte entry for every ``reach``
+    Texts cross the network once for the result, and those with border windows once more; about one 34-byte entry for every ``reach``
     / 2 bytes of text crosses once. A task's memory follows its own texts, a bucket's its share of distinct cuts.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "prefix-free")
-    data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = shared.table_partitions(spark)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    data = plain.select(F.xxhash64("doc_id", "text").alias("doc"), F.hash("text", "doc_id").alias("own"), "text", "doc_id")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0]
+    parts = max(shared.table_partitions(spark), -(-(size or 0) // (1 << 29)))  # a bucket's entries stay under some tens of MB
     buckets = max(64, 4 * parts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [parse(b.column(1), b.column(0).to_numpy(), p) for b in shared.steps(batches, 1)]
+        found, serial = [], TaskContext.get().partitionId() << 36
+        for b in shared.steps(batches, 2):
+            found.append(parse(b.column(2), b.column(0).to_numpy(), b.column(1).to_numpy(), p, serial))
+            serial += b.num_rows
         if found:
             covered, windows, leave = _local(np.concatenate(found))
             found.clear()
             for some, kind in ((covered, COVERED), (windows, WINDOWS)):
                 for i in range(0, len(some), 100_000):
                     x = some[i : i + 100_000]
-                    yield _marks(x["doc"], x["pos"], x["gap"], kind, _spread(x["doc"].copy(), buckets))
+                    yield _marks(x["doc"], x["own"], x["pos"], x["gap"], kind, _spread(x["doc"].copy(), buckets))
             yield from _blobs(leave, leave["core"], buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,27 +232,27 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
             if isinstance(x, np.ndarray):
                 for some, kind in zip(_met(x), (COVERED, WINDOWS), strict=True):
                     if len(some):
-                        yield _marks(some["doc"], some["pos"], some["gap"], kind, np.zeros(len(some)))
+                        yield _marks(some["doc"], some["own"], some["pos"], some["gap"], kind, np.zeros(len(some)))
             else:
                 yield x
 
-    dealt = data.mapInArrow(cut, MARKS).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    marks = scratch.keep(dealt.mapInArrow(meet, MARKS).select("doc", "start", "extra", "kind"), "marks")
+    dealt = data.select("doc", "own", "text").mapInArrow(cut, MARKS).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    marks = scratch.keep(dealt.mapInArrow(meet, MARKS).select("doc", "own", "start", "extra", "kind"), "marks")
     scratch.tidy()
 
-    border = scratch.keep(marks.where(F.col("kind") == WINDOWS).groupBy("doc").agg(F.collect_set(F.struct("start", "extra")).alias("places")), "border")
+    border = scratch.keep(marks.where(F.col("kind") == WINDOWS).groupBy("doc", "own").agg(F.collect_set(F.struct("start", "extra")).alias("places")), "border")
     near = shared.IdFilter(border, "doc")
 
     def having_border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = batch.filter(pa.array(near.passing(batch.column(2))))
-            yield pa.RecordBatch.from_arrays(left.columns[:2], names=["doc", "text"])
+            left = batch.filter(pa.array(near.passing(batch.column(3))))
+            yield pa.RecordBatch.from_arrays(left.columns[:3], names=["doc", "own", "text"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for batch in shared.steps(batches, 1):
-            text, bounds = wordhash.joined(batch.column(1))
-            places = batch.column(2)
+        for batch in shared.steps(batches, 2):
+            text, bounds = wordhash.joined(batch.column(2))
+            places = batch.column(3)
             counts = pc.list_value_length(places).to_numpy()
             flat = places.flatten()
             start, extra = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
@@ -259,18 +267,18 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
             out = np.zeros(len(pos), WINDOW)
             at = bounds[row] + pos
             out["core"] = wordhash.span_hashes(sums, at, at + p.length) + wordhash.mix((anchor - pos).astype(np.uint64))
-            out["own"] = wordhash.span_hashes(second, at, at + p.length, 1)
-            out["doc"], out["pos"] = batch.column(0).to_numpy()[row], pos
+            out["text"] = wordhash.span_hashes(second, at, at + p.length, 1)
+            out["doc"], out["own"], out["pos"] = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], pos
             found.append(out)
         if found:
             every = np.concatenate(found)
             found.clear()
-            order, _, own = _classes(every["core"], every["own"])
+            order, _, own = _classes(every["core"], every["text"])
             every = every[order]
             many = np.bincount(own, minlength=1)[own] > 1 if len(own) else np.zeros(0, bool)
-            doc, a, b = _runs(every["doc"][many], every["pos"][many], p.length)
+            doc, other, a, b = _runs(every["doc"][many], every["own"][many], every["pos"][many], p.length)
             if len(doc):
-                yield _marks(doc, a, b, COVERED, _spread(doc.copy(), buckets))
+                yield _marks(doc, other, a, b, COVERED, _spread(doc.copy(), buckets))
             lead = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else many
             leave = every[lead]
             leave["kind"] = np.where(many[lead], SEVERAL, PLAIN)
@@ -279,21 +287,22 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     def meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _by_bucket(batches, WINDOW):
             if isinstance(x, np.ndarray):
-                order, _, own = _classes(x["core"], x["own"])
+                order, _, own = _classes(x["core"], x["text"])
                 x = x[order]
                 again = (np.bincount(own)[own] > 1) & (x["kind"] == PLAIN)
-                doc, a, b = _runs(x["doc"][again], x["pos"][again], p.length)
+                doc, other, a, b = _runs(x["doc"][again], x["own"][again], x["pos"][again], p.length)
                 if len(doc):
-                    yield _marks(doc, a, b, COVERED, np.zeros(len(doc)))
+                    yield _marks(doc, other, a, b, COVERED, np.zeros(len(doc)))
             else:
                 yield x
 
-    texts = shared.IdFilter.hashed(data, "doc").mapInArrow(having_border, "doc long, text string")
-    looked = texts.join(border, "doc").select("doc", "text", "places").mapInArrow(windows, MARKS).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    spans = scratch.keep(looked.mapInArrow(meet_windows, MARKS).select("doc", "start", F.col("extra").alias("end")), "spans")
+    texts = shared.IdFilter.hashed(data.select("doc", "own", "text"), "doc").mapInArrow(having_border, "doc long, own int, text string")
+    looked = texts.join(border, ["doc", "own"]).select("doc", "own", "text", "places").mapInArrow(windows, MARKS).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    spans = scratch.keep(looked.mapInArrow(meet_windows, MARKS).select("doc", "own", "start", F.col("extra").alias("end")), "spans")
     scratch.tidy()
-    whole = marks.where(F.col("kind") == COVERED).select("doc", (F.col("start") - 2 * p.reach + 1).alias("start"), (F.col("start") + p.length - p.reach).alias("end"))
-    gone = whole.unionByName(spans).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    whole = marks.where(F.col("kind") == COVERED).select("doc", "own", (F.col("start") - 2 * p.reach + 1).alias("start"), (F.col("start") + p.length - p.reach).alias("end"))
+    gone = whole.unionByName(spans).groupBy("doc", "own").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string"
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.steps(batches, 1):
@@ -307,8 +316,8 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
                     at = max(at, span[1])
                 kept.append(text[at:])
                 left = b"".join(kept)
-                rows.append((None if doc == -(1 << 63) else doc, len(text), len(text) - len(left), spans, hashlib.sha256(left).hexdigest(), left if keep_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((doc, len(text), len(text) - len(left), spans, hashlib.sha256(left).hexdigest(), left if keep_text else None, left.decode(errors="ignore") if keep_text else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.string()], strict=True)], names=[x.split()[0] for x in out.split(", ")])
 
-    done = data.join(gone, "doc", "left").select("doc", "text", "gone").mapInArrow(result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done if keep_text else done.drop("kept")
+    done = data.join(gone, ["doc", "own"], "left").select("doc_id", "text", "gone").mapInArrow(result, out)
+    return done if keep_text else done.drop("kept", "text")

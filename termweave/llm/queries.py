@@ -52,7 +52,7 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.prefix_free import remove_repeats
 
-    return remove_repeats(_read(spark, sf_dir, "documents"), keep_text=False)
+    return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,16 @@ def test_repeated_bytes(spark, length, reach):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_repeated_bytes_of_shared_ids(spark):
+    """Null ids and ids of two texts: unique text stays, and cut characters are not in ``text``."""
+    rng = random.Random(12)
+    twice, one, two, three = (prose(rng, 80)[:n] for n in (450, 600, 600, 500))
+    rows = [(None, twice), (None, one), (3, "é" + twice), (3, two), (4, None), (None, None), (5, three), (5, three), (6, "é" * 500 + three[:100])]
+    got = prefix_free.remove_repeats(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 400)
+    assert {r.text for r in got} == {"", one, two, "é", three[:100]}
+
+
 def test_repeated_bytes_edges(spark):
     same = [(7, "z" * 450), (7, "z" * 450)]
     assert {(r.n_removed, r.n_spans) for r in prefix_free.remove_repeats(frame(spark, same)).collect()} == {(450, 1)}
