@@ -30,15 +30,17 @@ class Bands:
     ``chunk`` bytes, and a last one under half that size is judged with the whole text only."""
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.30, 1.05),
-        (1024, 0.20, 0.90),
-        (4096, 0.12, 0.80),
-        (16384, 0.08, 0.72),
-        (float("inf"), 0.05, 0.70),
+        (128, 0.50, 1.10),
+        (256, 0.45, 1.05),
+        (512, 0.40, 0.88),
+        (1024, 0.33, 0.80),
+        (4096, 0.28, 0.70),
+        (16384, 0.25, 0.62),
+        (float("inf"), 0.22, 0.58),
     )
     chunk: int = 4096
-    chunk_least: float = 0.10
-    chunk_most: float = 0.80
+    chunk_least: float = 0.22
+    chunk_most: float = 0.66
     bad_chunks: float = 0.25
     level: int = 3
 

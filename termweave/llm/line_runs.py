@@ -3,8 +3,12 @@
 Every document is the sequence of its lines that hold a word. A line's name is the place (document, number) where
 its text comes first; by doubling, the sequence of h lines from a place gets the first place of an equal sequence as
 its name. Places of one name are an interval of the suffix array whose common prefix has at least h lines, so a
-place whose name is not itself starts a run that an earlier place holds too. Runs of ``min_lines`` or more are the
-unions of such intervals; of every repeated run the first copy stays and the later ones are deleted.
+place whose name is not itself starts a run that an earlier place holds too. A later copy of a run of ``min_lines`` or
+more is a union of such places' windows of ``min_lines``, so doubling stops there: longer names would delete the same
+lines. Maximal runs are the stretches that windows cover; of every repeated run the first copy stays and the later
+ones are deleted.
+
+A document is known by its id and its text's hash together, so rows that share an id, or have none, are told apart.
 """
 
 from __future__ import annotations
@@ -25,48 +29,68 @@ def _lines(text: Column) -> Column:
 
 
 def _named(places: DataFrame, keys: list[str], scratch: shared.Scratch, table: str) -> DataFrame:
-    """``places`` (doc, seq, i, *keys) whose keys occur more than once, with the first place as ``name``.
+    """``places`` (doc, own, seq, i, *keys) whose keys occur more than once, with the first place as ``name``.
 
     Names are counted by partial aggregates before anything moves. They are written, and so stand in the join as a
     table of their own: a key of a third of all rows meets its one name in a join that Spark can split or broadcast.
     """
-    names = scratch.keep(places.groupBy(*keys).agg(F.min(F.struct("doc", "seq")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), table)
-    return places.join(names, keys, "inner").select("doc", "seq", "i", "name")
+    names = scratch.keep(places.groupBy(*keys).agg(F.min(F.struct("doc", "own", "seq")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), table)
+    return places.join(names, keys, "inner").select("doc", "own", "seq", "i", "name")
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and the sorted numbers (from 0, over all lines) of its lines that lie in a later copy of a run."""
+def _windows(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, own, seq) of all windows of ``min_lines`` lines that an earlier place holds too, and i, the first line's number."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
     scratch = shared.Scratch(docs.sparkSession, "line-runs")
     data = shared.texts(docs, id_col, text_col).where("text is not null")
-    places = data.select(F.col("doc_id").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("seq", "x")).select("doc", "seq", F.col("x.i").alias("i"), F.unhex(F.md5("x.line")).alias("key"))
+    places = data.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("own"), F.posexplode(_lines(F.col("text"))).alias("seq", "x"))
+    places = places.select("doc", "own", "seq", F.col("x.i").alias("i"), F.unhex(F.md5("x.line")).alias("key"))
     named = scratch.keep(_named(places, ["key"], scratch, "lines"), "named-1")
-    order = W.partitionBy("doc").orderBy("seq")  # a document's own lines only
+    order = W.partitionBy("doc", "own").orderBy("seq")  # a document's own lines only
     span = 1
     while span < min_lines:
         step = min(span, min_lines - span)  # the last step may overlap: equal halves that cover min_lines lines
         ahead = named.withColumn("later", F.first(F.struct("seq", "name")).over(order.rowsBetween(step, step)))
         # rows between here and there may be missing (lines that occur once), so look at the number too
-        pairs = ahead.where(F.col("later.seq") == F.col("seq") + step).select("doc", "seq", "i", F.col("name").alias("head"), F.col("later.name").alias("tail"))
+        pairs = ahead.where(F.col("later.seq") == F.col("seq") + step).select("doc", "own", "seq", "i", F.col("name").alias("head"), F.col("later.name").alias("tail"))
         span += step
         named = scratch.keep(_named(pairs, ["head", "tail"], scratch, f"pairs-{span}"), f"named-{span}")
-    later = named.where((F.col("name.seq") != F.col("seq")) | ~F.col("name.doc").eqNullSafe(F.col("doc")))
-    return later.select("doc", F.explode(F.sequence(F.col("seq"), F.col("seq") + (min_lines - 1))).alias("seq")).groupBy("doc").agg(F.array_sort(F.collect_set("seq")).alias("gone"))
+    return named.where(~F.col("name").eqNullSafe(F.struct("doc", "own", "seq"))).select("doc", "own", "seq", "i")
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, own (the text's hash) and the sorted numbers, from 0 over the lines with a word, of those in a later copy of a run."""
+    later = _windows(docs, min_lines, id_col, text_col)
+    lines = later.select("doc", "own", F.explode(F.sequence(F.col("seq"), F.col("seq") + (min_lines - 1))).alias("seq"))
+    return lines.groupBy("doc", "own").agg(F.array_sort(F.collect_set("seq")).alias("gone"))
+
+
+def maximal_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, first_line, n_lines of every longest stretch of lines (counted over those with a word) that later copies cover.
+
+    Rows repeated whole share their runs, which are given once.
+    """
+    later = _windows(docs, min_lines, id_col, text_col).distinct()
+    order = W.partitionBy("doc", "own").orderBy("seq")
+    new = F.coalesce(F.col("seq") > F.lag("seq").over(order) + min_lines, F.lit(True))
+    numbered = later.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
+    runs = numbered.groupBy("doc", "own", "run").agg(F.min("seq").alias("first_line"), (F.max("seq") - F.min("seq") + min_lines).cast("long").alias("n_lines"))
+    return runs.select(F.col("doc").alias("doc_id"), "first_line", "n_lines")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from the text, and n_lines and n_removed added.
 
     A run is ``min_lines`` or more consecutive lines that hold a word; lines of blanks are not compared and stay.
-    The first copy by document id (null first), then line, stays; all is judged on the input texts. Rows of one id
-    share a place, so exact repeats of a row are kept alike. A null text stays null with 0 lines, and a text all of
-    whose lines go becomes empty. Columns of ``docs`` called n_lines or n_removed are replaced.
+    The first copy by document id (null first; of rows that share an id, by their texts' hash), then line, stays; all
+    is judged on the input texts. Exact repeats of a row share a place and are kept alike. A null text stays null with 0
+    lines, and a text all of whose lines go becomes empty. Columns of ``docs`` called n_lines or n_removed are replaced.
     """
     gone = repeated_lines(docs, min_lines, id_col, text_col)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    at = docs.select(F.col(id_col).cast("long").alias("__id"), F.struct(*[docs[c] for c in keep]).alias("__row"))
-    both = at.join(gone.hint("merge"), F.col("__id").eqNullSafe(F.col("doc")), "left")
+    at = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__own"), F.struct(*[docs[c] for c in keep]).alias("__row"))
+    both = at.join(gone.hint("merge"), (F.col("__own") == F.col("own")) & F.col("__id").eqNullSafe(F.col("doc")), "left")
     text = F.col("__row")[text_col].cast("string")
     numbered = _lines(text)
 

@@ -13,6 +13,7 @@ import functools
 import io
 import itertools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -127,14 +128,18 @@ class ChunkEncoder:
     """Encodes texts with a tokenizers file by chunks, a chunk being a word with the blank before it.
 
     Cutting is safe where a single blank stands between two characters that are not white space, as byte-level
-    pre-tokenizers always cut there; a text with other blanks is cut at its safe places only.
+    pre-tokenizers always cut there; a text with other blanks is cut at its safe places only. Added tokens of the file
+    (such as the end of a text) in a text are cut out first and keep their own ids, as the library has it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.chunked = not any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in added)
+        # the longest first, as one may begin another
+        self.added = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) + ")") if added else None
         size = self.tokenizer.get_vocab_size()
         self.blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # the mark of byte 0x20
         self.store = ChunkStore(self._encode)
@@ -159,8 +164,16 @@ class ChunkEncoder:
         out[which], out[~which] = other, ids
         return out, every, [True] * len(keys)
 
+    def keys(self, text: str) -> list[str]:
+        if not self.chunked:
+            return [" " + text] if text else []
+        if self.added is None or not self.added.search(text):
+            return self.plain(text)
+        parts = self.added.split(text)  # every second one is an added token
+        return [k for i, part in enumerate(parts) for k in ([" " + part] if i % 2 else self.plain(part))]
+
     @staticmethod
-    def keys(text: str) -> list[str]:
+    def plain(text: str) -> list[str]:
         if not text:
             return []
         words = text.split(" ")
@@ -188,33 +201,39 @@ def worker_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int = 0, shards: int = 0, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@functools.cache
+def vocabulary_of(path: str) -> int:
+    """Ids of a tokenizers file, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int | None = None, end_id: int = 0, shards: int = 0, block: int = 4096, shard_ids: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes every document's ids, ``end_id`` after each, into shard files in ascending order of the document id.
 
-    Returns one row for each shard (number, file, documents, tokens), numbered in that order. A null text is
-    empty, a null id comes first, repeated ids follow the hash of their text. Documents are dealt by ranges of the
-    id, so no source or copy group matters; a task holds its own ids packed, never the texts. Files appear under
-    their final names only when whole, so a retried or doubled task does no harm.
+    Returns one row for each shard (file, first document and its text's hash, number in its task, documents, ids). A null text is
+    empty, a null id comes first, repeated ids follow the hash of their text. Documents are dealt by ranges of id and hash,
+    so no source, copy group or repeated id matters; a task holds one shard's ids packed, never the texts, and closes a shard at
+    ``shard_ids`` ids (a longer document has one of its own). Files appear under
+    their final names only when whole, so a retried or doubled task does no harm. ``vocabulary``: as the tokenizer has it if not given.
     """
     spark = docs.sparkSession
-    data = shared.texts(docs, id_col, text_col)
+    data = shared.texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("hash"))
     shards = shards or shared.table_partitions(spark)
-    dealt = data.repartitionByRange(shards, F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    width = width_of(vocabulary)
+    dealt = data.repartitionByRange(shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    width = width_of(vocabulary or vocabulary_of(tokenizer))
+    kind = "<u2" if width <= 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
         names: list[int | None] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
-        kind = "<u2" if width <= 16 else "<u4"
-        for batch in shared.steps(batches, 1, 1 << 20):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, counts = encoder.encode(texts)
-            parts.append(np.insert(ids, np.cumsum(counts), end_id).astype(kind))
-            names += batch.column(0).to_pylist()
-            lengths += (counts + 1).tolist()
-        if names:
+        head, turn = 0, 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal turn
             fs, root = pafs.FileSystem.from_uri(folder)
             fs.create_dir(root, recursive=True)
             name = f"ids-{uuid.uuid4().hex}.bin"
@@ -222,9 +241,26 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
                 write_shard(out, names, lengths, iter(parts), width, block)
             fs.move(f"{root}/.{name}", f"{root}/{name}")
             first = NULL_ID if names[0] is None else names[0]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (f"{folder}/{name}", first, len(names), sum(lengths))], names=["file", "first_id", "n_docs", "n_ids"])
+            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((f"{folder}/{name}", first, head, turn, len(names), sum(lengths)), [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["file", "first_id", "first_hash", "turn", "n_docs", "n_ids"])
+            turn += 1
+            for x in (names, lengths, parts):
+                x.clear()
+            return out
+
+        for batch in shared.steps(batches, 1, 1 << 20):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids, counts = encoder.encode(texts)
+            if names and sum(lengths) + len(ids) > shard_ids:
+                yield close()
+            if not names:
+                head = batch.column(2)[0].as_py()
+            parts.append(np.insert(ids, np.cumsum(counts), end_id).astype(kind))
+            names += batch.column(0).to_pylist()
+            lengths += (counts + 1).tolist()
+        if names:
+            yield close()
 
-    return dealt.mapInArrow(run, "file string, first_id long, n_docs long, n_ids long")
+    return dealt.mapInArrow(run, "file string, first_id long, first_hash long, turn int, n_docs long, n_ids long")
 
 
 def read(shards: DataFrame, digest: Callable[[np.ndarray], int] = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())) -> DataFrame:
@@ -247,14 +283,14 @@ def read(shards: DataFrame, digest: Callable[[np.ndarray], int] = lambda ids: zl
     return shards.select("file", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFrame:
+def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int | None = None, **how) -> DataFrame:
     """Files in the shared folder, then each document's place and checksum as read back from them.
 
-    Only one row for each shard comes to the driver: their number is the number of partitions, whatever the input.
+    Only one row for each shard, of some 2^25 ids, comes to the driver.
     """
     scratch = shared.Scratch(spark, "packed-ids")
-    manifest = scratch.keep(write(docs, scratch.path("files"), tokenizer, vocabulary), "manifest")
-    rows = sorted(manifest.collect(), key=lambda r: r["first_id"])
+    manifest = scratch.keep(write(docs, scratch.path("files"), tokenizer, vocabulary, **how), "manifest")
+    rows = sorted(manifest.collect(), key=lambda r: (r["first_id"], r["first_hash"], r["turn"]))
     bases = itertools.accumulate((r["n_ids"] for r in rows), initial=0)
     placed = spark.createDataFrame([(r["file"], b) for r, b in zip(rows, bases, strict=False)], "file string, base long")
     return read(placed.repartition(max(1, len(rows))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from termweave.llm import shared
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-NEVER_SHOWN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas svg math datalist meta link base param source track area map textarea select option optgroup".split())
+NEVER_SHOWN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas datalist meta link base param source track area map desc defs metadata annotation".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr form article section header footer nav aside main hgroup".split())
 BLOCK = SPACED | frozenset("html body div li dt dd address center details summary dialog figcaption legend menu tr td th caption thead tbody tfoot search".split())
 #: Start tags that end an open element: tag -> (elements it ends, elements beyond which it does not look).
@@ -36,12 +37,17 @@ ENDS = {
 }
 ENDS_P = (SPACED | {"div", "address", "center", "details", "summary", "dialog", "figcaption", "menu", "li", "dt", "dd"}) - {"hr"} | {"hr"}
 P_SCOPE = frozenset({"td", "th", "table", "caption", "button", "object", "html"})
-MAX_DEPTH = 200  # deeper elements become children of the element at this depth, as browsers do at theirs
+#: Inputs whose value is text on the page.
+WRITTEN = frozenset(["", *"text search email url tel number date time month week button submit reset".split()])
+MAX_DEPTH = 2000  # deeper elements that say nothing about visibility become children of the element at this depth
+WIDE = 1280  # the screen, in px, that media queries are asked about
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_STYLE = re.compile(r"(display)\s*:\s*none|visibility\s*:\s*(?:(hidden|collapse)|(visible))", re.I)
+_BRACE = re.compile(r"([^{};]*)([{};])")
+_WIDTH = re.compile(r"(min|max)-(?:device-)?width\s*:\s*([\d.]+)\s*(px|em|rem)?", re.I)
+GONE, HIDDEN, SHOWN = "gone", "hidden", "shown"
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 BREAK = "\x00"
@@ -136,44 +142,117 @@ def parse(page: str) -> tuple[Node, list[str]]:
             elif tag not in ("script", "style"):
                 node.children.append(inner)
             continue
-        if len(stack) < MAX_DEPTH:
+        if len(stack) < MAX_DEPTH or node.attrs or tag in NEVER_SHOWN:
             stack.append(node)
     text(page[at:])
     return root, styles
 
 
-def hiding_rules(styles: list[str]) -> list[tuple[str, str, str]]:
-    """(tag, class, id) of simple selectors whose rule hides; other selectors are not judged."""
+def _said(style: str) -> str | None:
+    """What declarations say about being seen; being taken out of the page goes first, else the last one counts."""
+    out = None
+    for m in _STYLE.finditer(style):
+        if m[1]:
+            return GONE
+        out = HIDDEN if m[2] else SHOWN
+    return out
+
+
+def _on_screen(query: str) -> bool:
+    """Whether one of a media rule's queries holds on a screen of WIDE px."""
+    for one in query.lower().split(","):
+        if re.search(r"\b(print|speech|tty|projection)\b", one) and not re.search(r"\bnot\b", one) or re.search(r"\bnot\s+(screen|all)\b|\bprefers-|orientation\s*:\s*portrait", one):
+            continue
+        sizes = [(m[1], float(m[2]) * (1 if m[3] in (None, "px") else 16)) for m in _WIDTH.finditer(one)]
+        if all(WIDE <= n if side == "max" else WIDE >= n for side, n in sizes):
+            return True
+    return False
+
+
+def visibility_rules(styles: list[str]) -> list[tuple[str, str, str, str]]:
+    """(tag, class, id, what they say) of simple selectors of rules that hold on a screen; other selectors are not judged."""
     found = []
     for style in styles:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", style, flags=re.S)):
-            if _HIDING.search(m[2]):
-                for one in m[1].split(","):
-                    if (s := _SIMPLE.fullmatch(one.strip())) and s[0]:
-                        mark = s[2] or ""
-                        found.append(((s[1] or "").lower(), mark[1:] if mark[:1] == "." else "", mark[1:] if mark[:1] == "#" else ""))
+        style = re.sub(r"/\*.*?\*/", "", style, flags=re.S)
+        open_blocks: list[tuple[str, str]] = []  # kind and selector of the blocks around
+        said = ""
+        for m in _BRACE.finditer(style):
+            head = m[1].strip()
+            if m[2] == "{":
+                if head.startswith("@"):
+                    name = re.match(r"@([\w-]*)", head)[1].lower()
+                    holds = _on_screen(head[6:]) if name == "media" else name in ("supports", "layer", "container", "scope", "document")
+                    open_blocks.append(("group" if holds else "off", ""))
+                else:
+                    open_blocks.append(("rule", head))
+                said = ""
+            elif m[2] == ";":
+                said += head + ";"
+            elif open_blocks:
+                kind, selector = open_blocks.pop()
+                what = _said(said + head)
+                said = ""
+                if kind == "rule" and what and not any(k == "off" for k, _ in open_blocks):
+                    for one in selector.split(","):
+                        if (s := _SIMPLE.fullmatch(one.strip())) and s[0]:
+                            mark = s[2] or ""
+                            found.append(((s[1] or "").lower(), mark[1:] if mark[:1] == "." else "", mark[1:] if mark[:1] == "#" else "", what))
     return found
 
 
 class Renderer:
     """Lines of text of a tree. Block elements start lines, spaced ones leave one blank line around them."""
 
-    def __init__(self, rules: list[tuple[str, str, str]]):
+    def __init__(self, rules: list[tuple[str, str, str, str]]):
         self.rules = rules
         self.tables = self.hidden = 0
+        self.seen = True  # what visibility says here
 
     def visible(self, node: Node) -> bool:
+        """False if the element takes no part in the page at all."""
+        return self.state(node) != GONE
+
+    def state(self, node: Node) -> str | None:
         if node.tag in NEVER_SHOWN:
-            return False
+            return GONE
         a = node.attrs
         if not a and not self.rules:
-            return True
-        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDING.search(a.get("style", "")) or node.tag == "input" and a.get("type", "").lower() == "hidden":
-            return False
-        if self.rules:
-            classes = a.get("class", "").split()
-            return not any((not t or t == node.tag) and (not c or c in classes) and (not i or i == a.get("id")) for t, c, i in self.rules)
-        return True
+            return None
+        if "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
+            return GONE
+        own = _said(a["style"]) if "style" in a else None
+        if own == GONE or not self.rules:
+            return own
+        classes = a.get("class", "").split()
+        said = [what for t, c, i, what in self.rules if (not t or t == node.tag) and (not c or c in classes) and (not i or i == a.get("id"))]
+        if GONE in said and not re.search(r"display\s*:", a.get("style", ""), re.I):
+            return GONE
+        return own or next((x for x in reversed(said) if x != GONE), None)
+
+    def within(self, node: Node, state: str | None, work):
+        """``work(node)`` with the element's own visibility, which its children inherit."""
+        before = self.seen
+        self.seen = before if state is None else state == SHOWN
+        out = work(node)
+        self.seen = before
+        return out
+
+    @staticmethod
+    def chosen(node: Node) -> list[str]:
+        """Texts of a select element's options that are on the page."""
+        options: list[Node] = []
+        todo = list(reversed(node.children))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, Node):
+                if x.tag == "option":
+                    options.append(x)
+                else:
+                    todo.extend(reversed(x.children))
+        size = node.attrs.get("size", "")
+        if "multiple" not in node.attrs and not (size.isdecimal() and int(size[:6]) > 1):
+            options = [x for x in options if "selected" in x.attrs][-1:] or options[:1]
+        return ["".join(html.unescape(c) for c in x.children if isinstance(c, str)) for x in options if "hidden" not in x.attrs]
 
     def render(self, root: Node) -> str:
         lines = self.block(root)
@@ -214,37 +293,50 @@ class Renderer:
                     counter = 0
             for child in n.children:
                 if isinstance(child, str):
-                    inline.append(html.unescape(child) if "&" in child else child)
+                    if self.seen:
+                        inline.append(html.unescape(child) if "&" in child else child)
                     continue
                 tag = child.tag
-                if not self.visible(child):
+                state = self.state(child)
+                if state == GONE:
                     self.hidden += tag not in NEVER_SHOWN
                     continue
+                self.hidden += state == HIDDEN
+                seen = self.seen if state is None else state == SHOWN
                 if tag == "br":
                     inline.append(BREAK)
-                elif tag == "wbr" or tag == "img" or tag == "input":
+                elif tag in ("wbr", "img"):
                     pass
+                elif tag == "input":
+                    if seen and child.attrs.get("type", "").lower() in WRITTEN:
+                        inline.append(" " + child.attrs.get("value", "") + " ")
+                elif tag == "select":
+                    if seen:
+                        inline.append(" " + " ".join(self.chosen(child)) + " ")
+                elif tag == "textarea":
+                    if seen:
+                        inline.append(" " + " ".join(html.unescape(x) for x in child.children if isinstance(x, str)) + " ")
                 elif tag not in BLOCK:
-                    walk(child)
+                    self.within(child, state, walk)
                 else:
                     flush()
                     spaced = tag in SPACED and not (tag in ("ul", "ol") and n.tag == "li")
                     gap |= spaced
                     if tag == "table":
-                        add(self.table(child))
+                        add(self.within(child, state, self.table))
                     elif tag == "pre":
-                        add(self.pre(child))
+                        add(self.within(child, state, self.pre))
                     elif tag == "hr":
-                        add(["---"])
+                        add(["---"] if seen else [])
                     elif tag == "li":
                         counter += 1
                         mark = f"{counter}. " if n.tag == "ol" else "- "
-                        inner = self.block(child)
-                        add([(mark if k == 0 else " " * len(mark)) + x if x else "" for k, x in enumerate(inner)] or [mark.rstrip()])
+                        inner = self.within(child, state, self.block)
+                        add([(mark if k == 0 else " " * len(mark)) + x if x else "" for k, x in enumerate(inner)] or ([mark.rstrip()] if seen else []))
                     elif tag in ("dd", "blockquote"):
-                        add(["  " + x if x else "" for x in self.block(child)])
+                        add(["  " + x if x else "" for x in self.within(child, state, self.block)])
                     else:
-                        add(self.block(child))
+                        add(self.within(child, state, self.block))
                     gap |= spaced
 
         walk(node)
@@ -255,37 +347,48 @@ class Renderer:
 
     def pre(self, node: Node) -> list[str]:
         out: list[str] = []
-        todo: list[Node | str] = [node]
+        todo: list[tuple[Node | str, bool]] = [(x, self.seen) for x in reversed(node.children)]
         while todo:
-            x = todo.pop()
+            x, seen = todo.pop()
             if isinstance(x, str):
-                out.append(html.unescape(x))
+                if seen:
+                    out.append(html.unescape(x))
             elif x.tag == "br":
                 out.append("\n")
-            elif self.visible(x):
-                todo.extend(reversed(x.children))
-        return [x.rstrip() for x in "".join(out).replace("\r\n", "\n").strip("\n").split("\n")]
+            elif (state := self.state(x)) != GONE:
+                inside = seen if state is None else state == SHOWN
+                todo.extend((c, inside) for c in reversed(x.children))
+        found = [x.rstrip() for x in "".join(out).replace("\r\n", "\n").strip("\n").split("\n")]
+        return found if any(found) else []
 
     def table(self, node: Node) -> list[str]:
-        """Cells stand under each other by column; a cell over several columns counts for its first one only,
-        and a cell of several lines makes a row of several lines."""
+        """Cells stand under each other by column, beside the places that cells of earlier rows take up; a cell over
+        several columns counts for its first one only, and a cell of several lines makes a row of several lines."""
         self.tables += 1
-        rows: list[list[tuple[list[str], int]]] = []
+        rows: list[list[tuple[int, list[str], int]]] = []
         caption: list[str] = []
-        todo: list[Node] = [node]
+        taken: dict[int, int] = {}  # rows that a column is still taken for
+        todo: list[tuple[Node, bool]] = [(node, self.seen)]
+        before = self.seen
         while todo:
-            n = todo.pop()
+            n, self.seen = todo.pop()
             for child in reversed(n.children):
-                if isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot", "tr", "caption") and self.visible(child):
-                    todo.append(child)
+                if isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot", "tr", "caption") and (state := self.state(child)) != GONE:
+                    todo.append((child, self.seen if state is None else state == SHOWN))
             if n.tag == "caption":
                 caption += self.block(n)
             elif n.tag == "tr":
-                row = []
+                row, col = [], 0
                 for c in n.children:
-                    if isinstance(c, Node) and c.tag in _CELLS and self.visible(c):
-                        span = c.attrs.get("colspan", "1")
-                        row.append((self.block(c), min(1000, int(span)) if span.isdecimal() and int(span[:6]) > 0 else 1))
+                    if isinstance(c, Node) and c.tag in _CELLS and (state := self.state(c)) != GONE:
+                        over = [min(1000, int(x)) if (x := c.attrs.get(side, "1")).isdecimal() and int(x[:6]) > 0 else 1 for side in ("colspan", "rowspan")]
+                        while taken.get(col):
+                            col += 1
+                        row.append((col, self.within(c, state, self.block), over[0]))
+                        for k in range(col, col + over[0]):
+                            taken[k] = over[1]
+                        col += over[0]
+                taken = {k: n - 1 for k, n in taken.items() if n > 1}
                 if row:
                     rows.append(row)
             stray = [x for x in n.children if (isinstance(x, str) and x.strip()) or (isinstance(x, Node) and x.tag not in ("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "col"))]
@@ -293,21 +396,23 @@ class Renderer:
                 holder = Node("div", {})
                 holder.children = stray
                 caption += self.block(holder)
+        self.seen = before
         widths: dict[int, int] = {}
         for row in rows:
-            col = 0
-            for lines, span in row:
+            for col, lines, span in row:
                 if span == 1:
                     widths[col] = max(widths.get(col, 0), max((len(x) for x in lines), default=0))
-                col += span
+                else:
+                    widths.setdefault(col, 0)
         out = list(caption)
         for row in rows:
-            for k in range(max(1, max(len(lines) for lines, _ in row))):
-                parts, col = [], 0
-                for lines, span in row:
+            for k in range(max(1, max(len(lines) for _, lines, _ in row))):
+                parts, at = [], 0
+                for col, lines, span in row:
+                    parts += [" " * widths.get(c, 0) for c in range(at, col)]
                     width = sum(widths.get(c, 0) for c in range(col, col + span)) + 3 * (span - 1)
                     parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                    col += span
+                    at = col + span
                 out.append(" | ".join(parts).rstrip())
         return out
 
@@ -317,8 +422,16 @@ def extract(page: str | None) -> tuple[str, int, int]:
     if not page:
         return "", 0, 0
     root, styles = parse(page.replace(BREAK, ""))
-    renderer = Renderer(hiding_rules(styles))
-    return renderer.render(root), renderer.tables, renderer.hidden
+    renderer = Renderer(visibility_rules(styles))
+    depth, level = 0, [root]
+    while level:
+        depth, level = depth + 1, [c for n in level for c in n.children if isinstance(c, Node)]
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 8 * depth + 1000))  # frames of Python functions live on the heap
+    try:
+        return renderer.render(root), renderer.tables, renderer.hidden
+    finally:
+        sys.setrecursionlimit(before)
 
 
 SCHEMA = "page_id long, text string, n_chars long, n_tables long, n_hidden long"
@@ -328,7 +441,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """Visible text of every page, one row for each row, in a narrow map that shuffles nothing.
 
     Null or empty pages, and pages that show nothing, give the empty text. Malformed pages never fail: what is
-    not a tag is text. Repeated rows repeat, extra columns are ignored. Memory follows the longest page.
+    not a tag is text. Rules of style sheets count where they hold on a wide screen; what ``aria-hidden`` names is seen all
+    the same. Form fields show their value (of a select the chosen option), not their hints. n_hidden counts elements that are
+    taken out or made invisible. Repeated rows repeat, extra columns are ignored. Memory follows the longest page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

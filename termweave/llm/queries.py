@@ -60,7 +60,7 @@ def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from termweave.llm import packed_ids
 
-    return packed_ids.write_and_read(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50_257)
+    return packed_ids.write_and_read(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,34 @@ def test_line_runs(spark, k):
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()} == brute_lines(rows, k)
 
 
+def test_line_runs_of_shared_ids(spark):
+    """Rows that share an id, or have none, lose no unique text."""
+    rows = [(1, "a\nb"), (3, "a\nb"), (3, "keep1\nkeep2"), (None, "x\ny\na\nb"), (None, "a\nb\nkeep3\nkeep4"), (None, None), (None, None)]
+    left = [r.text if r.text is not None else "-" for r in line_runs.dedup_lines(frame(spark, rows)).collect()]
+    assert sum("a\nb" in x for x in left) == 1
+    words = sorted(w for x in left for w in x.split("\n") if w not in ("-", "a", "b", ""))
+    assert words == ["keep1", "keep2", "keep3", "keep4", "x", "y"] and left.count("-") == 2
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_maximal_runs(spark, k):
+    rng = random.Random(20 + k)
+    rows = [(i, "\n".join(rng.choice("abcdefghi") for _ in range(rng.randint(0, 20)))) for i in range(30)]
+    seen, want = set(), set()
+    for i, t in rows:
+        lines, bad = t.split("\n") if t else [], set()
+        for s in range(len(lines) - k + 1):
+            key = tuple(lines[s : s + k])
+            if key in seen:
+                bad |= set(range(s, s + k))
+            seen.add(key)
+        starts = [n for n in bad if n - 1 not in bad]
+        want |= {(i, n, next(m for m in itertools.count(n) if m not in bad) - n) for n in starts}
+    got = line_runs.maximal_runs(frame(spark, rows), k)
+    assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString())
+    assert {(r.doc_id, r.first_line, r.n_lines) for r in got.collect()} == want
+
+
 def test_line_runs_edges(spark):
     assert line_runs.dedup_lines(frame(spark, [(1, "a")]).limit(0)).count() == 0
     with pytest.raises(ValueError):

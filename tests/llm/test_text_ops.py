@@ -64,6 +64,7 @@ def test_compression_bands(spark):
             pack = zstandard.ZstdCompressor(level=3, write_content_size=False)
             assert r.ratio == len(pack.compress(data)) / len(data)
         assert not (r.kept and r.base_failed)
+    assert compression_bands.compression_quality(frame(spark).limit(0)).count() == 0
     assert not compression_bands.verdicts(0.01, [], 5000, bands) and not compression_bands.verdicts(0.99, [], 5000, bands) and compression_bands.verdicts(0.4, [0.4, 0.5], 9000, bands)
     assert not compression_bands.verdicts(0.4, [0.01, 0.5], 9000, bands)
 
@@ -71,10 +72,11 @@ def test_compression_bands(spark):
 def test_junk_goes_and_prose_stays(spark):
     rng = random.Random(5)
     prose = " ".join("".join(rng.choice(["ta", "ren", "is", "mo", "lu", "dor", "e", "na"]) for _ in range(rng.randint(1, 4))) for _ in range(400))
-    noise = " ".join("%08x" % rng.getrandbits(32) for _ in range(400))
-    rows = [(1, prose), (2, "word again " * 300), (3, "".join(rng.choice([chr(c) for c in range(33, 126)]) for _ in range(20000)) + " z" * 5 + prose[:150])]
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(60)) for _ in range(60))
+    stutter = " ".join(w for w in prose.split(" ")[:40] for _ in range(6))  # no window of eight words twice
+    rows = [(4, stutter), (5, prose[:300]), (6, prose[:700]), (7, noise), (1, prose), (2, "word again " * 300), (3, "".join(rng.choice([chr(c) for c in range(33, 126)]) for _ in range(20000)) + " z" * 5 + prose[:150])]
     got = {r.doc_id: r.kept for r in compression_bands.compression_quality(frame(spark, rows)).collect()}
-    assert got == {1: True, 2: False, 3: False} and noise
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: True, 6: True, 7: False}
 
 
 def langs(n=60, seed=0):
@@ -98,6 +100,52 @@ def test_language_id(spark):
     assert {r.lang_pred for r in kernel_langid.predict(train, empty).collect()} == {"und"}
 
 
+def test_letters_of_all_planes(spark):
+    """Emoji and musical signs are no letters; letters beyond the first plane are."""
+    p = kernel_langid.KernelParams()
+    x = np.zeros(kernel_langid.buckets(p), np.float32)
+    assert [kernel_langid.presence(t, p, x) for t in ("🤖🤖", "𝄞 🎵", "12", "𐐷", "𠀀", "é")] == [False, False, False, True, True, True]
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """A text of very many copies is learned from once, and no more rows than the bound reach the driver."""
+    rows = langs(90) + [(1000 + k, "ka ko ku mi ro ka", "xx") for k in range(3000)]
+    p = kernel_langid.KernelParams(per_language=20, landmarks=9)
+    plain = kernel_langid.train(spark.createDataFrame(langs(90) + [(1000, "ka ko ku mi ro ka", "xx")], "doc_id long, text string, lang string"), p)
+    many = kernel_langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), p)
+    assert many.languages == plain.languages and np.array_equal(many.landmarks, plain.landmarks) and np.allclose(many.weights, plain.weights)
+    wide = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} text", f"l{k:03d}") for k in range(300)]
+    assert len(kernel_langid.train(spark.createDataFrame(wide, "doc_id long, text string, lang string"), p).languages) == 300
+
+
+def test_predictions_by_direct_ridge(spark):
+    """Landmarks that are all of the sample make the method plain kernel ridge regression: solved directly here."""
+    rows = langs(24)
+    p = kernel_langid.KernelParams(per_language=50, landmarks=50)
+    model = kernel_langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), p)
+    grams = lambda t: {(n, t[k : k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+    clean = lambda t: re.sub(r"[^\w]+", " ", t.lower())
+    sets = [grams(clean(t)) for _, t, _ in rows]
+    inner = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k = np.array([[inner(a, b) for b in sets] for a in sets])
+    names = sorted({x for *_, x in rows})
+    y = np.array([[1.0 if x == n else -1.0 for n in names] for *_, x in rows])
+    weight = np.array([1 / (len(names) * np.mean([z == x for *_, z in rows])) for *_, x in rows])
+    weight /= weight.sum()
+    # features and targets are centred by weighted means; the kernel of centred features follows from the plain one
+    mean_y, toward = weight @ y, k @ weight
+    centred = k - toward[:, None] - toward[None, :] + weight @ toward
+    solved = np.linalg.solve(centred * weight[None, :] * len(rows) + p.ridge * len(rows) * np.eye(len(rows)), y - mean_y)
+    test = langs(30, 5)
+    want = []
+    for _, t, _ in test:
+        row = np.array([inner(grams(clean(t)), s) for s in sets])
+        row = row - row @ weight - toward + weight @ toward
+        want.append(names[int((row * weight * len(rows) @ solved + mean_y).argmax())])
+    got = {r.doc_id: r.lang_pred for r in kernel_langid.predict(spark.createDataFrame([(i, t) for i, t, _ in test], "doc_id long, text string"), model).collect()}
+    assert [got[i] for i, _, _ in test] == want
+
+
 def test_kernel_by_sets():
     p = kernel_langid.KernelParams(step_chars=7)
     texts = ["abc abd", "abd xyz, ab", "zzz"]
@@ -146,21 +194,28 @@ def test_shards_random_access(tmp_path):
         packed_ids.ShardReader(f)
 
 
-def test_token_files_against_whole_texts(spark):
+@pytest.mark.parametrize("vocabulary", [None, 100_000])  # as the file has it: 16 bits; 17 bits
+def test_token_files_against_whole_texts(spark, vocabulary):
+    """Null and repeated ids, added tokens inside texts, many small shards."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    rows = [(i, t) for i, t in EDGE if i is not None and i != 4] + [(9, "a\n b  c\td <|endoftext|> it's 12"), (8, "日本語 テスト　x 🤖"), (4, "x" * 3000), (11, " lead"), (10, "trail ")]
-    got = {r.doc_id: r for r in packed_ids.write_and_read(spark, frame(spark, rows), path, 50_257).collect()}
-    start = 0
-    for i, t in sorted(rows):
-        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), t
-        start += len(ids)
-    assert packed_ids.write_and_read(spark, frame(spark, [(1, "a")]).limit(0), path, 50_257).count() == 0
+    rng = random.Random(3)
+    odd = ["<|endoftext|>", " ", "a", "it's", "\n", "  ", "<|endof", "text|>", "é", "12"]
+    rows = [*EDGE, (9, "a\n b  c\td <|endoftext|> it's 12"), (8, "日本語 テスト　x 🤖"), (11, " lead"), (10, "trail "), (None, None), (4, "other text"), (12, "<|endoftext|>")]
+    rows += [(20 + k, "".join(rng.choice(odd) for _ in range(rng.randint(1, 15)))) for k in range(60)]
+    got = packed_ids.write_and_read(spark, frame(spark, rows), path, vocabulary, shard_ids=500, block=64).collect()
+    want = [(i, [*whole.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
+    digest = lambda ids: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), *digest(ids)) for i, ids in want)
+    inside = sorted(got, key=lambda r: r.start)
+    ids = [r.doc_id for r in inside]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in inside] == np.cumsum([0, *[r.n_tokens for r in inside]])[:-1].tolist()
+    assert packed_ids.vocabulary_of(path) == 50_257
+    assert packed_ids.write_and_read(spark, frame(spark, [(1, "a")]).limit(0), path).count() == 0
 
 
 def test_chunk_store_beyond_its_limit():
@@ -253,7 +308,7 @@ def test_perspectives(spark):
         ("plain &lt;b&gt; 5 < 6", "plain <b> 5 < 6"),
         ("<title>t</title><body><p>one<p>two", "one\n\ntwo"),
         ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>", "- a\n- b\n  3. c\n  4. d"),
-        ("<div>x</div><div hidden>y</div><div style='display: none'>z</div><span aria-hidden=true>q</span>w", "x\nw"),
+        ("<div>x</div><div hidden>y</div><div style='display: none'>z</div><span aria-hidden=true>q</span>w", "x\nqw"),
         ("<style>.ad, #k {display:none}</style><p class='big ad'>no</p><p id=k>no</p><p>yes</p>", "yes"),
         ("<table><tr><td>ab<td>c<tr><td>d<td>eee<br>f</table>", "ab | c\nd  | eee\n   | f"),
         ("<table><tr><th colspan=2>head<tr><td>a<td>b</table>", "head\na | b"),
@@ -265,6 +320,16 @@ def test_perspectives(spark):
         ("<a href='x", "<a href='x"),
         ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
         ("<dl><dt>t<dd>d</dl>", "t\n  d"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>x<tr><td>c<td>y</table>", "a | b   | x\nc |  |  | y"),
+        ("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div>", "yes"),
+        ("<ul style='visibility:hidden'><li>no<li style='visibility: visible'>yes</ul>", "- yes"),
+        ("<textarea>a\nb</textarea><select><option>c<option selected>d</select><input value=e><input type=hidden value=f><input type=checkbox value=g>", "a b d e"),
+        ("<select multiple><option>c<option>d</select>", "c d"),
+        ("<svg><title>no</title><text>yes</text></svg><math><mi>x</mi></math>", "yesx"),
+        ("<style>@media print { .x {display:none} } @media (max-width: 600px) {p {display:none}}</style><p class=x>a", "a"),
+        ("<style>@media screen and (min-width:800px) { .x {display:none} } @font-face {src: x} b{color:red}</style><p class=x>a</p>b", "b"),
+        ("<style>.x {visibility: hidden; color: red} .y {visibility: visible}</style><p class=x>a<b class=y>c</b></p>", "c"),
     ],
 )
 def test_pages(page, text):
@@ -273,6 +338,8 @@ def test_pages(page, text):
 
 def test_deep_and_long_pages():
     assert page_layout.extract("<div>" * 5000 + "deep")[0] == "deep"
+    for depth in (250, 2500):
+        assert page_layout.extract("<div>" * depth + "<div hidden>secret<div>more</div></div>seen")[0] == "seen"
     assert page_layout.extract("<p>w</p>" * 20000)[0].count("w") == 20000
     assert page_layout.extract('<a "' * 2000)[0]
 
