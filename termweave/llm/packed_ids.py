@@ -139,10 +139,11 @@ class ChunkEncoder:
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.chunked = not any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in added)
         # the longest first, as one may begin another
-        self.added = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) + ")") if added else None
+        self.marks = sorted((t.content for t in added), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, self.marks)) + ")")
         size = self.tokenizer.get_vocab_size()
         self.blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # the mark of byte 0x20
-        self.store = ChunkStore(self._encode)
+        self.store = ChunkStore(self._encode, 1_000_000)
 
     def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """Words are encoded many at once, as a text of their own: only a word's first token holds its blank."""
@@ -167,7 +168,7 @@ class ChunkEncoder:
     def keys(self, text: str) -> list[str]:
         if not self.chunked:
             return [" " + text] if text else []
-        if self.added is None or not self.added.search(text):
+        if not any(m in text for m in self.marks):
             return self.plain(text)
         parts = self.added.split(text)  # every second one is an added token
         return [k for i, part in enumerate(parts) for k in ([" " + part] if i % 2 else self.plain(part))]
