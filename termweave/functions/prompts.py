@@ -44,11 +44,12 @@ EXAMPLES = (
     },
 )
 MISSING = "missing"
-#: Columns that the pipeline adds; a full-row prompt leaves them out.
-DERIVED = frozenset(
-    "row_id algorithm_1_text algorithm_2_text algorithm_ai_metadata algorithm_ai_text algorithm_1_matches algorithm_2_matches "
-    "algorithm_ai_matches multi_match_matches elastic_fuzzy_matches jaccard_matches".split()
-)
+# The columns that the pipeline adds.
+TEXTS = ("algorithm_1_text", "algorithm_2_text", "algorithm_ai_text")
+METADATA, ROW = "algorithm_ai_metadata", "row_id"
+METHODS = ("algorithm_1", "algorithm_2", "algorithm_ai", "multi_match", "elastic_fuzzy", "jaccard")
+#: A full-row prompt leaves them out.
+DERIVED = frozenset((ROW, METADATA, *TEXTS, *(f"{m}_matches" for m in METHODS)))
 Values = Callable[[str], Column]
 
 

@@ -90,3 +90,13 @@ def hashed_embedding(c: Column, dims: int = 64, n: int = 3) -> Column:
     cells = F.transform(ngrams(clean(c), n), lambda g: F.struct(F.pmod(F.xxhash64(g), F.lit(dims)).alias("cell"), F.when(F.xxhash64(g, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
     sums = lambda x: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(x, lambda y: y["cell"] == k), F.lit(0.0), lambda s, y: s + y["sign"]))
     return unit(bound(cells, sums)).cast("array<float>")
+
+
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """Mean of those token vectors whose mask is not 0; null if the mask keeps none."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["v"])
+
+    def mean(v: Column) -> Column:
+        return F.when(F.size(v) > 0, F.transform(F.get(v, F.lit(0)), lambda _, i: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.get(x, i).cast("double")) / F.size(v)))
+
+    return bound(kept, mean)

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termweave.functions.prompts import METHODS
 from termweave.operators import hierarchy
 from termweave.operators.topk import ranked
 from termweave.sources.settled import settled
 
-METHODS = ("algorithm_1", "algorithm_2", "algorithm_ai", "multi_match", "elastic_fuzzy", "jaccard")
 
 
 def votes(matches: DataFrame, top_k: int = 3, methods: Sequence[str] = METHODS) -> DataFrame:

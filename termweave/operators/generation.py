@@ -39,10 +39,36 @@ def embedder(factory: Callable[[], Embed]) -> Callable[[Column], Column]:
     return run
 
 
+def transformer(name: str, max_length: int = 64, batch: int = 32) -> Callable[[], Embed]:
+    """A factory for ``embedder`` around a public encoder model: mean of the token vectors that the mask keeps. The
+    libraries are imported in the worker and only when it is used."""
+
+    def factory() -> Embed:
+        import torch
+        from transformers import AutoModel, AutoTokenizer
+
+        tokenizer, model = AutoTokenizer.from_pretrained(name), AutoModel.from_pretrained(name).eval()
+
+        def embed(texts: list[str]) -> list[list[float]]:
+            out: list[list[float]] = []
+            with torch.no_grad():
+                for i in range(0, len(texts), batch):
+                    cut = tokenizer(texts[i : i + batch], padding=True, truncation=True, max_length=max_length, return_tensors="pt")
+                    hidden, mask = model(**cut).last_hidden_state, cut["attention_mask"].unsqueeze(-1).float()
+                    out += ((hidden * mask).sum(1) / mask.sum(1).clamp(min=1e-9)).tolist()
+            return out
+
+        return embed
+
+    return factory
+
+
 def embed_missing(texts: DataFrame, done: DataFrame | None, key: str, text_column: str, embed: Callable[[Column], Column]) -> DataFrame:
-    """(key, vector) of the rows whose key has no vector yet; append them to what is there and run again after a stop."""
+    """(key, vector) of the rows whose key has no vector yet (a null text has a null vector); append them to what is there
+    and run again after a stop."""
     todo = texts if done is None else texts.join(done.select(key), key, "left_anti")
-    return todo.select(key, embed(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("vector"))
+    there = F.col(text_column).cast("string")
+    return todo.select(key, F.when(there.isNotNull(), embed(F.coalesce(there, F.lit("")))).alias("vector"))
 
 
 def template(c: Column | None = None) -> Column:
@@ -53,6 +79,17 @@ def template(c: Column | None = None) -> Column:
     return F.concat(value, F.when(F.size(facts) > 0, F.concat(F.lit(" with "), F.array_join(facts, ", "))).otherwise(F.lit("")), F.lit("."))
 
 
+def echo() -> Generate:
+    """A generator without a model: the query value that the last message names, or that message."""
+
+    def generate(messages: list[dict[str, str]], model: str, temperature: float) -> str:
+        last = messages[-1]["content"]
+        named = [x.removeprefix("Query value: ") for x in last.split("\n") if x.startswith("Query value: ")]
+        return named[0] if named else last
+
+    return generate
+
+
 def with_retries(call: Callable[[], str], attempts: int = 3, pause: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
     """(text, None), or (None, error) after ``attempts`` failures with pauses of pause x attempt seconds between them."""
     for attempt in range(1, attempts + 1):
@@ -101,6 +138,17 @@ def experiment_grid(sample: DataFrame, query_column: str, context_columns: Seque
     return grid.withColumn("messages", shown).withColumn("n_messages", F.size("messages"))
 
 
+def run_experiment(grid: DataFrame, factory: Callable[[], Generate], models: Sequence[str], done: DataFrame | None = None, index: str = "sample_index", temperature: float | None = None, attempts: int = 3, pause: float = 5.0) -> DataFrame:
+    """``grid`` (of experiment_grid) with key, ai_output and error, each model asked for its own rows. ``done`` (key,
+    ai_output) are not asked again; append the new ones to it and run again after a stop."""
+    keyed = grid.withColumn("key", F.concat_ws("|", index, "prompt_type", "shot_type", "model"))
+    out = None if done is None else done.select("key", "ai_output", F.lit(None).cast("string").alias("error"))
+    for m in models:
+        new = generate_missing(keyed.where(F.col("model") == m), done, factory, m, temperature, attempts, pause)
+        out = new if out is None else out.unionByName(new)
+    return keyed.join(out, "key", "left")
+
+
 def manifest(spark, **settings: object) -> DataFrame:
     """One row with the run's settings as JSON and the time it was made."""
     import json

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.operators.topk import ranked
+from termweave.sources.settled import settled
 
 IS_A = "116680003"  # fixed value: the relationship type "is a"
 
@@ -16,30 +17,32 @@ def edges(relationships: DataFrame, is_a: str = IS_A) -> DataFrame:
     return good.select(F.col("sourceId").cast("string").alias("child"), F.col("destinationId").cast("string").alias("parent")).distinct()
 
 
-def ancestors(starts: DataFrame, isa: DataFrame, max_depth: int | None = 3, include_self: bool = True, start: str = "concept_id", max_hops: int = 100) -> DataFrame:
+def ancestors(starts: DataFrame, isa: DataFrame, max_depth: int | None = 3, include_self: bool = True, start: str = "concept_id") -> DataFrame:
     """(concept_id, ancestor, distance) with the shortest distance of each ancestor of the given concepts.
 
     Hop by hop from the starts, so only their part of the graph is touched; pairs already reached are not followed
-    again, which also ends cycles. ``max_depth=None`` goes on until nothing new appears. A concept outside the graph has
-    only itself. Null starts are left out.
+    again, which also ends cycles. ``max_depth=None`` goes on until nothing new appears, however far that is. Each hop is a
+    written table, so plans stay small at any depth. A concept outside the graph has only itself. Null starts are left out.
     """
+    isa = settled(isa.select("child", "parent").where("child is not null and parent is not null").distinct())
     first = starts.select(F.col(start).cast("string").alias("concept_id")).where("concept_id is not null").distinct()
-    reached = first.select("concept_id", F.col("concept_id").alias("ancestor"), F.lit(0).alias("distance"))
-    front = reached
-    hops = max_hops if max_depth is None else max_depth
-    for hop in range(1, hops + 1):
+    front = settled(first.select("concept_id", F.col("concept_id").alias("ancestor"), F.lit(0).alias("distance")))
+    reached, hop = front, 0
+    while max_depth is None or hop < max_depth:
+        hop += 1
         step = front.join(isa, front["ancestor"] == isa["child"]).select("concept_id", F.col("parent").alias("ancestor")).distinct()
-        front = step.join(reached.select("concept_id", "ancestor"), ["concept_id", "ancestor"], "left_anti").withColumn("distance", F.lit(hop))
-        if max_depth is None:
-            front = front.checkpoint()
-            if front.isEmpty():
-                break
+        front = settled(step.join(reached.select("concept_id", "ancestor"), ["concept_id", "ancestor"], "left_anti").withColumn("distance", F.lit(hop)))
+        if front.isEmpty():
+            break
         reached = reached.unionByName(front)
     return reached if include_self else reached.where("distance > 0")
 
 
 def ancestors_few_hops(starts: DataFrame, isa: DataFrame, max_depth: int, start: str = "concept_id") -> DataFrame:
-    """The same for small depths as one plan: walks of every length, then the shortest of each pair."""
+    """The same for depths of up to three as one plan over edges written once: walks of every length, then the shortest of each pair."""
+    if max_depth > 3:
+        return ancestors(starts, isa, max_depth, True, start)
+    isa = settled(isa.select("child", "parent").where("child is not null and parent is not null").distinct())
     front = starts.select(F.col(start).cast("string").alias("concept_id")).where("concept_id is not null").distinct().select("concept_id", F.col("concept_id").alias("ancestor"))
     walks = front.withColumn("distance", F.lit(0))
     for hop in range(1, max_depth + 1):

@@ -71,10 +71,10 @@ def fielded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as records: the first 60 characters are the query."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.substring("text", 1, 60).alias("query"))
-
-
-def whole_items(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as records: the whole text is the query."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("query"))
+
+
+def whole_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as terms of one text each."""
+    return table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("concept_id"), F.col("text").alias("term"))

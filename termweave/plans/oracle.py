@@ -42,7 +42,7 @@ PLACES = """pla AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey
   UNION SELECT 'r' || r_regionkey FROM region WHERE r_regionkey <> 0)"""
 GEO = "e AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
 PEOPLE = "peo AS (SELECT c_custkey, c_name, c_mktsegment, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"
-ITEMS = "items AS (SELECT item_id AS row_id, substr(text, 1, 60) AS query FROM benchmark)"
+ITEMS = "items AS (SELECT item_id AS row_id, text AS query FROM benchmark)"
 FIELDED = "fld AS (SELECT doc_id, substr(text, 1, 80) AS term, substr(text, 81) AS definition FROM documents)"
 PAIRS = "p AS (SELECT DISTINCT 's' || s_suppkey AS a, 's' || (s_suppkey + 1) AS b FROM supplier UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
 
@@ -123,12 +123,9 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 DENSE_OTHERS = DENSE.format(keep="AND q.vec_id <> c.vec_id")
 
 MATCHES = f"""{ITEMS}, {FIELDED}, {_terms("items", "tm")}, {_bm25("tm", "fld", "mm")},
-pool AS (SELECT doc_id AS concept_id, term FROM fld), {_jaccard("items", "pool", "jc")},
+pool AS (SELECT doc_id AS concept_id, text AS term FROM documents), {_jaccard("items", "pool", "jc")},
 mat AS (SELECT query, 'multi_match' AS method, rank, doc_id, score FROM mm UNION ALL SELECT query, 'jaccard', rank, concept_id, jaccard_score FROM jc)"""
-LISTS = f"""{ITEMS}, lis AS (
-  SELECT i.row_id, i.query, m.method, m.i, r.rank,
-         CAST((i.row_id * 7 + floor((r.rank * (m.i + 1)) / 2) * 10) % ((SELECT max(doc_id) FROM documents) + 1) AS BIGINT) AS doc_id
-  FROM items i, (VALUES ('multi_match', 0), ('elastic_fuzzy', 1), ('jaccard', 2)) m(method, i), (SELECT unnest(range(1, 6)) AS rank) r)"""
+LISTS = f"""{MATCHES}, lis AS (SELECT i.row_id, i.query, m.method, CASE m.method WHEN 'multi_match' THEN 0 ELSE 1 END AS i, m.rank, m.doc_id FROM items i JOIN mat m ON m.query = i.query)"""
 
 
 def _votes(k: int) -> str:
@@ -140,7 +137,8 @@ vot AS (SELECT row_id, concept_id, points, methods, row_number() OVER (PARTITION
 
 SOURCES = """g AS (SELECT CAST(doc_id AS VARCHAR) AS child, 'source:' || source AS parent FROM documents WHERE source IS NOT NULL
   UNION SELECT 'source:' || source, 'corpus' FROM documents WHERE source IS NOT NULL)"""
-CLUSTERS = f"""{LISTS}, {_votes(5)}, {SOURCES},
+def _clusters(k: int) -> str:
+    return f"""{LISTS}, {_votes(k)}, {SOURCES},
 cp AS (SELECT x.row_id, x.concept_id AS a, x.ord AS i, y.concept_id AS b, y.ord AS j FROM vot x JOIN vot y ON x.row_id = y.row_id AND x.ord < y.ord),
 {_related("cp", 1, "common", "g", "crl")},
 lnk AS (SELECT cp.row_id, i, j FROM cp JOIN crl ON crl.a = cp.a AND crl.b = cp.b),
@@ -149,6 +147,9 @@ rea AS (SELECT row_id, ord, ord AS seen FROM vot UNION SELECT rea.row_id, rea.or
 clu AS (SELECT v.*, m.cluster FROM vot v JOIN (SELECT row_id, ord, min(seen) AS cluster FROM rea GROUP BY ALL) m ON m.row_id = v.row_id AND m.ord = v.ord)"""
 
 
+CLUSTERS = _clusters(5)
+
+
 def _tops(depth: int) -> str:
     return f"""siz AS (SELECT row_id, cluster, count(*) AS n FROM clu GROUP BY ALL HAVING count(*) > 1),
 {_closure("(SELECT concept_id AS s FROM clu)", depth, "g", "cla")},
@@ -157,13 +158,17 @@ anc AS (SELECT c.row_id, c.cluster, x.anc, sum(x.dist) AS total, max(x.dist) AS
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, cluster ORDER BY total, most, anc) AS k FROM anc) WHERE k = 1)"""
 
 
-CONSENSUS = f"""{CLUSTERS}, {_tops(1)},
+def _consensus(k: int, final: int) -> str:
+    return f"""{_clusters(k)}, {_tops(1)},
 agg AS (SELECT row_id, cluster, CAST(sum(points) AS BIGINT) AS cp, list_sort(list_distinct(flatten(list(methods)))) AS ms, list(concept_id) AS members FROM clu GROUP BY ALL),
 cand AS (SELECT c.row_id, c.concept_id, 'exact_candidate' AS source, c.cluster, 0 AS late, c.ord, a.cp, c.points AS own, a.ms
          FROM clu c JOIN agg a ON a.row_id = c.row_id AND a.cluster = c.cluster
          UNION ALL SELECT t.row_id, t.anc, 'common_ancestor', t.cluster, 1, 0, a.cp, 0, a.ms
          FROM top t JOIN agg a ON a.row_id = t.row_id AND a.cluster = t.cluster WHERE NOT list_contains(a.members, t.anc)),
-fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY cp DESC, own DESC, len(ms) DESC, cluster, late, ord) AS rank FROM cand) WHERE rank <= 6)"""
+fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY cp DESC, own DESC, len(ms) DESC, cluster, late, ord) AS rank FROM cand) WHERE rank <= {final})"""
+
+
+CONSENSUS = _consensus(5, 6)
 VECTOR_GRAPH = "g AS (SELECT CAST(vec_id AS VARCHAR) AS child, 'g' || (vec_id % 50) AS parent FROM embeddings UNION SELECT 'g' || (vec_id % 50), 'h' || (vec_id % 10) FROM embeddings)"
 HIT_BASE = f"""{DENSE_OTHERS},
 rws AS (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS code FROM embeddings WHERE vec_id % 100 = 0),
@@ -245,6 +250,21 @@ SQL: dict[str, str] = {
     "clusters": f"WITH RECURSIVE {CLUSTERS} SELECT row_id, concept_id, ord, cluster FROM clu",
     "cluster_common_ancestor": f"WITH RECURSIVE {CLUSTERS}, {_tops(2)} SELECT row_id, cluster, anc AS ancestor, CAST(total AS BIGINT) AS total_distance, CAST(most AS BIGINT) AS max_distance FROM top",
     "consensus_topk": f"WITH RECURSIVE {CONSENSUS} SELECT row_id, rank, concept_id, source, cp AS cluster_points, CAST(own AS BIGINT) AS concept_points, CAST(len(ms) AS BIGINT) AS n_methods FROM fin",
+    "pipeline_end_to_end": f"""WITH RECURSIVE {_consensus(20, 10)}, lst AS (SELECT row_id, string_agg(concept_id, ',' ORDER BY rank) AS ids FROM fin GROUP BY row_id)
+        SELECT i.row_id, i.query AS test_name, f.concept_id AS final_concept_id, coalesce(round_even(f.cp / 20.0::DOUBLE, 3), 0.0) AS support_score, CAST(coalesce(len(f.ms), 0) AS BIGINT) AS n_methods_agreeing,
+               coalesce(l.ids, '') AS final_candidate_ids
+        FROM items i LEFT JOIN fin f ON f.row_id = i.row_id AND f.rank = 1 LEFT JOIN lst l ON l.row_id = i.row_id""",
+    "method_comparison_fuzzy": f"""WITH {MATCHES}, {_fuzzy_terms("items", "fld", "ft")}, {_bm25("ft", "fld", "fz")},
+        all3 AS (SELECT * FROM mat UNION ALL SELECT query, 'elastic_fuzzy', rank, doc_id, score FROM fz), one AS (SELECT all3.*, term FROM all3 JOIN fld USING (doc_id) WHERE rank = 1)
+        SELECT i.row_id, i.query AS test_name, {", ".join(f"CAST({m}.doc_id AS VARCHAR) AS {m}_concept_id, {m}.term AS {m}_match, {m}.score AS {m}_score" for m in ("multi_match", "elastic_fuzzy", "jaccard"))}
+        FROM items i {" ".join(f"LEFT JOIN one {m} ON {m}.query = i.query AND {m}.method = '{m}'" for m in ("multi_match", "elastic_fuzzy", "jaccard"))}""",
+    "generated_texts": f"WITH {PEOPLE} SELECT c_custkey, 'customer|c_name|' || {NAME} || '|c_mktsegment=' || {SEGMENT} || '|n_name=' || {NATION} AS ai_key, {_MISS(NAME)} AS algorithm_ai_text, CAST(NULL AS VARCHAR) AS ai_error FROM peo",
+    "experiment_outputs": f"""WITH b AS (SELECT c_custkey AS sample_index, {NAME} AS query_value, {SEGMENT} AS seg FROM customer),
+        p AS (SELECT sample_index, 'named' AS prompt_type, {_MISS("query_value")} AS ai_output FROM b
+              UNION ALL SELECT sample_index, 'values_only', coalesce(nullif(concat_ws(chr(10), nullif(query_value, ''), nullif(seg, '')), ''), 'missing') FROM b
+              UNION ALL SELECT sample_index, 'full_row', coalesce(nullif(concat_ws(chr(10), {_LINE("test_name: ", "query_value")}, {_LINE("spec_type_desc: ", "seg")}), ''), 'missing') FROM b)
+        SELECT sample_index, prompt_type, s.shot_type, m.model, ai_output FROM p, (VALUES ('zero_shot'), ('few_shot')) s(shot_type), (VALUES ('model-a'), ('model-b')) m(model)""",
+    "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
     "consensus_summary": f"""WITH RECURSIVE {CONSENSUS}, lst AS (SELECT row_id, string_agg(concept_id, ',' ORDER BY rank) AS ids FROM fin GROUP BY row_id)
         SELECT i.row_id, i.query AS test_name, f.concept_id AS final_concept_id, coalesce(round_even(f.cp / 5.0::DOUBLE, 3), 0.0) AS support_score, CAST(coalesce(len(f.ms), 0) AS BIGINT) AS n_methods_agreeing,
                coalesce(array_to_string(f.ms, ','), '') AS agreeing_methods, coalesce(l.ids, '') AS final_candidate_ids

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from termweave.functions import prompts, text
 from termweave.operators import bm25, dense, fusion, generation, jaccard
 from termweave.sources.settled import settled
-from termweave.sources.sinks import Checkpoints
+from termweave.sources.sinks import Checkpoints, digest, read_texts
+from termweave.sources.terminology import with_row_ids
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,24 @@ class MappingConfig:
     fresh_start: bool = False
     embed: Callable[[Column], Column] = field(default=generation.hashing)
     generate: Callable[[], Column] = field(default=generation.template)
+    embed_name: str = "hashing"  # names the embedder in checkpoints: change it with the model
+    model: Callable[[], generation.Generate] | None = None  # if given, it writes the texts instead of ``generate``
+    model_name: str = ""
+    temperature: float | None = None
+    text_store: str | None = None  # folder of the texts written so far, by key
+    attempts: int = 3
+    pause: float = 5.0
+
+    @classmethod
+    def from_env(cls, prefix: str = "TERMWEAVE_", **given) -> MappingConfig:
+        """Settings from variables such as TERMWEAVE_TOP_K; ``given`` ones go first."""
+        found = {}
+        for f in fields(cls):
+            value = os.environ.get(prefix + f.name.upper())
+            if value is not None and f.name not in given:
+                kind = str(f.type)
+                found[f.name] = value.lower() in ("1", "true", "yes") if kind == "bool" else tuple(filter(None, value.split(","))) if kind.startswith("tuple") else int(value) if kind == "int" else float(value) if kind.startswith("float") else value
+        return cls(**found | given)
 
     @property
     def table_name(self) -> str:
@@ -49,22 +69,47 @@ class Pools:
     isa: DataFrame | None = None
 
 
+def generated_texts(data: DataFrame, cfg: MappingConfig) -> DataFrame:
+    """``data`` with the key of each record's metadata, the text that ``cfg.model`` wrote for it, and the error if it failed.
+
+    Every distinct key is asked for once and given to all its records. Texts of ``cfg.text_store`` are not asked for
+    again; new ones are added to it, failures are not, so a later run tries those once more.
+    """
+    spark = data.sparkSession
+    key = prompts.metadata_key(cfg.table_name, cfg.query_column, cfg.context_columns)
+    asked = prompts.table_prompt(cfg.table_name, cfg.query_column, cfg.context_columns)
+    messages = prompts.messages(asked, prompts.table_examples(cfg.table_name, cfg.query_column, cfg.context_columns))
+    done = None if cfg.fresh_start else read_texts(spark, cfg.text_store)
+    new = settled(generation.generate_missing(data.select(key.alias("key"), messages.alias("messages")), done, cfg.model, cfg.model_name, cfg.temperature, cfg.attempts, cfg.pause))
+    every = new if done is None else new.unionByName(settled(done.select("key", "ai_output", F.lit(None).cast("string").alias("error"))))
+    if cfg.text_store:
+        kept = new.where("ai_output is not null").select("key", "ai_output")
+        kept.write.mode("overwrite" if cfg.fresh_start else "append").parquet(cfg.text_store)
+    texts = every.select(F.col("key").alias("ai_key"), F.col("ai_output").alias("algorithm_ai_text"), F.col("error").alias("ai_error"))
+    return data.withColumn("ai_key", key).join(texts, "ai_key", "left")
+
+
 def prepare(records: DataFrame, cfg: MappingConfig) -> DataFrame:
-    """Records (with row_id) and their three query texts."""
-    made = prompts.semantic_inputs(records, cfg.table_name, cfg.query_column, cfg.context_columns)
-    return made.withColumn("algorithm_ai_text", cfg.generate())
+    """Records and their three query texts; row_id is added if there is none."""
+    made = prompts.semantic_inputs(with_row_ids(records), cfg.table_name, cfg.query_column, cfg.context_columns)
+    return generated_texts(made, cfg) if cfg.model else made.withColumn("algorithm_ai_text", cfg.generate())
 
 
 def _dense(data: DataFrame, column: str, pool: DataFrame, cfg: MappingConfig) -> DataFrame:
-    """Each distinct text is embedded and searched once; empty texts are searched too."""
-    wanted = data.select(F.coalesce(F.col(column), F.lit("")).alias("query")).distinct()
+    """Each distinct text is embedded and searched once; empty texts are searched too, null ones (failed generations) are not."""
+    wanted = data.select(F.col(column).alias("query")).where("query is not null").distinct()
     queries = wanted.select(F.xxhash64("query").alias("qid"), "query", cfg.embed(F.col("query")).alias("vector"))
-    numbered = pool.withColumn("pid", F.xxhash64("concept_id", "text", "source")).dropDuplicates(["pid"])
-    found = dense.match_blocks(queries, numbered.select("pid", cfg.embed(F.coalesce("text", F.lit(""))).alias("vector")), "qid", "pid", "vector", cfg.top_k, block=cfg.query_block)
+    numbered = pool.where("text is not null").withColumn("pid", F.xxhash64("concept_id", "text", "source")).dropDuplicates(["pid"])
+    found = dense.match_blocks(queries, numbered.select("pid", cfg.embed(F.col("text")).alias("vector")), "qid", "pid", "vector", cfg.top_k, block=cfg.query_block)
     named = found.join(numbered, found["pool_id"] == numbered["pid"]).join(wanted.select(F.xxhash64("query").alias("query_id"), "query"), "query_id")
     return named.select("query", "rank", "concept_id", "text", F.col("similarity").alias("score"), "source")
 
 
+def stage_settings(queries: DataFrame, pools: dict[str, str], cfg: MappingConfig) -> dict[str, object]:
+    """What a method's stored matches depend on: settings, models, and what the queries and pools hold."""
+    return {"table": cfg.table_name, "query": cfg.query_column, "context": cfg.context_columns, "k": cfg.top_k, "n": cfg.ngram_size, "embed": cfg.embed_name, "queries": digest(queries), "pools": pools}
+
+
 def retrieve(data: DataFrame, pools: Pools, cfg: MappingConfig, checkpoints: Checkpoints | None = None) -> DataFrame:
     """Long matches (row_id, query, method, rank, concept_id, text, score, source) of all methods of ``cfg``.
 
@@ -94,19 +139,21 @@ def retrieve(data: DataFrame, pools: Pools, cfg: MappingConfig, checkpoints: Che
             ),
         ),
     }
+    pooled = {n: digest(df) for n, df in (("terms", pools.short_terms), ("definitions", pools.definitions), ("documents", pools.documents))} if checkpoints else {}
     out: DataFrame | None = None
     for method in cfg.methods:
         column, make = makers[method]
-        settings = {"table": cfg.table_name, "query": cfg.query_column, "context": cfg.context_columns, "k": cfg.top_k, "n": cfg.ngram_size}
-        found = checkpoints.once(method, settings, make) if checkpoints else settled(make())
-        mine = data.select("row_id", F.coalesce(F.col(column).cast("string"), F.lit("") if column.endswith("_text") and column.startswith("algorithm") else F.lit(None)).alias("query"))
+        found = checkpoints.once(method, stage_settings(data.select(column), pooled, cfg), make) if checkpoints else settled(make())
+        mine = data.select("row_id", F.col(column).cast("string").alias("query"))
         rows = mine.join(found, "query").select("row_id", "query", F.lit(method).alias("method"), "rank", "concept_id", "text", F.col("score").cast("double").alias("score"), "source")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def run(records: DataFrame, pools: Pools, cfg: MappingConfig, checkpoints: Checkpoints | None = None) -> dict[str, DataFrame]:
-    """matches, comparison and final candidates of all records."""
+    """matches, comparison and final candidates of all records. With ``fresh_start`` no earlier result is used."""
+    if checkpoints and cfg.fresh_start:
+        checkpoints = Checkpoints(checkpoints.spark, checkpoints.root, fresh=True)
     data = settled(prepare(records, cfg))
     found = settled(retrieve(data, pools, cfg, checkpoints))
     rows = data.select("row_id", F.col(f"`{cfg.query_column}`").cast("string").alias("query"))
@@ -118,3 +165,11 @@ def run(records: DataFrame, pools: Pools, cfg: MappingConfig, checkpoints: Check
         "consensus": best,
         "final_candidates": fusion.final_candidates(rows, best, cfg.consensus_top_k),
     }
+
+
+def map_experiment(outputs: DataFrame, pools: Pools, cfg: MappingConfig) -> DataFrame:
+    """(sample_index, prompt_type, shot_type, model, rank, concept_id, text, score, source) of the texts of an experiment
+    (run_experiment); failed ones have no matches."""
+    data = settled(outputs.select("sample_index", "prompt_type", "shot_type", "model", "ai_output"))
+    found = _dense(data, "ai_output", dense.combined_pool(pools.short_terms, pools.definitions), cfg)
+    return data.withColumnRenamed("ai_output", "query").join(found, "query").drop("query")

@@ -12,6 +12,7 @@ from termweave.operators import bm25, dense, evaluation, fusion, generation, hie
 from termweave.plans import adapters as a
 from termweave.plans import pipeline
 from termweave.sources import terminology
+from termweave.sources.settled import settled
 
 CONTEXT = ("c_mktsegment", "n_name")
 METHODS = ("multi_match", "elastic_fuzzy", "jaccard")
@@ -193,48 +194,48 @@ def related_pairs_lineage(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.related(_pairs(spark, d), a.geography(spark, d, False), 2, "lineage")
 
 
-def _matches(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Three lexical methods' five best documents for every benchmark item (``whole``: its whole text, and Jaccard over whole documents)."""
-    rows, docs = a.whole_items(spark, d) if whole else a.items(spark, d), a.fielded(spark, d)
+def _matches(spark: SparkSession, d: str, methods: tuple[str, ...]) -> DataFrame:
+    """Lexical methods' five best documents for every benchmark item, whole texts on both sides."""
+    rows, docs = a.items(spark, d), a.fielded(spark, d)
     index = bm25.build_index(docs)
     names = docs.select("doc_id", "concept_id", F.col("term").alias("text"))
+    whole = a.whole_documents(spark, d)
+    makers = {
+        "multi_match": lambda: bm25.multi_match(rows, index, "query", 5),
+        "elastic_fuzzy": lambda: bm25.fuzzy_match(rows, index, "query", 5),
+        "jaccard": lambda: jaccard.match(rows, whole, "query", "term", "doc_id", 5, 3, text.clean).select("query", F.col("concept_id").alias("doc_id"), "rank", F.round("jaccard_score", 6).alias("score")),
+    }
     out = None
-    for method, found in (("multi_match", bm25.multi_match(rows, index, "query", 5)), ("elastic_fuzzy", bm25.fuzzy_match(rows, index, "query", 5))):
-        part = found.join(names, "doc_id").select("query", F.lit(method).alias("method"), "rank", "concept_id", "text", "score")
+    for method in methods:
+        part = makers[method]().select("query", F.lit(method).alias("method"), "rank", "doc_id", "score")
         out = part if out is None else out.unionByName(part)
-    pool = a.table(spark, d, "documents").select("doc_id", F.col("text").alias("term")) if whole else docs
-    sim = jaccard.match(rows, pool, "query", "term", "doc_id", 5, 3, text.clean)
-    out = out.unionByName(sim.select("query", F.lit("jaccard").alias("method"), "rank", F.col("concept_id").cast("string").alias("concept_id"), F.col("term").alias("text"), F.round("jaccard_score", 6).alias("score")))
-    return rows.join(out, "query").select("row_id", "query", "method", "rank", "concept_id", "text", "score")
+    return settled(rows.join(out, "query").join(names, "doc_id").select("row_id", "query", "method", "rank", "concept_id", "text", "score"))
+
+
+EXACT = ("multi_match", "jaccard")
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    """Deterministic lists of documents for every item, as three methods might give them: long, with ties and repeats."""
-    docs = a.table(spark, d, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("text"))
-    n = docs.agg(F.max("doc_id").alias("top"))
-    rows = a.items(spark, d).join(F.broadcast(n)).select("row_id", "query", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(i).alias("i")) for i, m in enumerate(METHODS)])).alias("m"), "top")
-    places = rows.select("row_id", "query", "m.method", "m.i", "top", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
-    picked = places.withColumn("doc_id", (F.col("row_id") * 7 + F.floor((F.col("rank") * (F.col("i") + 1)) / 2) * 10) % (F.col("top") + 1))
-    return picked.join(docs, "doc_id").select("row_id", "query", "method", "rank", F.col("doc_id").cast("string").alias("concept_id"), "text", (F.lit(1.0) / F.col("rank")).alias("score"))
+    """The matches of the two methods that SQL can give as well."""
+    return _matches(spark, d, EXACT)
 
 
 def method_comparison(spark: SparkSession, d: str) -> DataFrame:
-    exact = ("multi_match", "jaccard")
-    return fusion.comparison(a.items(spark, d), _matches(spark, d).where(F.col("method").isin(*exact)), exact)
+    return fusion.comparison(a.items(spark, d), _matches(spark, d, EXACT), EXACT)
 
 
 def method_comparison_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """The same with typo-tolerant matches; SQL's edit distance differs from ours beyond one edit, so there is none."""
-    return fusion.comparison(a.whole_items(spark, d), _matches(spark, d, whole=True), METHODS)
+    """The same with typo-tolerant matches."""
+    return fusion.comparison(a.items(spark, d), _matches(spark, d, METHODS), METHODS)
 
 
 def vote_aggregation(spark: SparkSession, d: str) -> DataFrame:
-    v = fusion.votes(_lists(spark, d), 3, METHODS)
+    v = fusion.votes(_lists(spark, d), 3, EXACT)
     return v.select("row_id", "concept_id", F.col("points").cast("long").alias("points"), F.array_join("methods", ",").alias("methods"), F.col("ord").cast("long").alias("ord"))
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    c = fusion.clusters(fusion.votes(_lists(spark, d), 5, METHODS), a.document_graph(spark, d).where("child not like 'lang:%' and parent not like 'lang:%'"), 1)
+    c = fusion.clusters(fusion.votes(_lists(spark, d), 5, EXACT), a.document_graph(spark, d).where("child not like 'lang:%' and parent not like 'lang:%'"), 1)
     return c.select("row_id", "concept_id", F.col("ord").cast("long").alias("ord"), F.col("cluster").cast("long").alias("cluster"))
 
 
@@ -243,18 +244,18 @@ def _source_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_common_ancestor(spark: SparkSession, d: str) -> DataFrame:
-    c = fusion.clusters(fusion.votes(_lists(spark, d), 5, METHODS), _source_graph(spark, d), 1)
+    c = fusion.clusters(fusion.votes(_lists(spark, d), 5, EXACT), _source_graph(spark, d), 1)
     found = fusion.cluster_ancestors(c, _source_graph(spark, d), 2)
     return found.select("row_id", F.col("cluster").cast("long").alias("cluster"), "ancestor", *[F.col(x).cast("long").alias(x) for x in ("total_distance", "max_distance")])
 
 
 def consensus_topk(spark: SparkSession, d: str) -> DataFrame:
-    best = fusion.consensus(_lists(spark, d), _source_graph(spark, d), 5, 6, 1, METHODS)
+    best = fusion.consensus(_lists(spark, d), _source_graph(spark, d), 5, 6, 1, EXACT)
     return best.select("row_id", F.col("rank").cast("long").alias("rank"), "concept_id", "source", *[F.col(x).cast("long").alias(x) for x in ("cluster_points", "concept_points", "n_methods")])
 
 
 def consensus_summary(spark: SparkSession, d: str) -> DataFrame:
-    best = fusion.consensus(_lists(spark, d), _source_graph(spark, d), 5, 6, 1, METHODS)
+    best = fusion.consensus(_lists(spark, d), _source_graph(spark, d), 5, 6, 1, EXACT)
     final = fusion.final_candidates(a.items(spark, d), best, 5)
     return final.select("row_id", "test_name", "final_concept_id", "support_score", F.col("n_methods_agreeing").cast("long").alias("n_methods_agreeing"), F.array_join("agreeing_methods", ",").alias("agreeing_methods"), F.array_join("final_candidate_ids", ",").alias("final_candidate_ids"))
 
@@ -300,14 +301,43 @@ def method_scores(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("method", "type", *[F.col(f"`{n}`").alias(n.replace("@", "_at_")) for n in names])
 
 
-def pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
-    """All six methods over the benchmark items, with the built-in embedder and generator, to the final candidates."""
+def _mapping(spark: SparkSession, d: str, methods: tuple[str, ...]) -> DataFrame:
     records = a.items(spark, d).withColumnRenamed("query", "diagnosis_text")
     docs = a.fielded(spark, d)
-    pools = pipeline.Pools(docs.select("concept_id", F.col("term").alias("description")), docs.select("concept_id", "definition").where("definition <> ''"), docs, _source_graph(spark, d))
-    cfg = pipeline.MappingConfig(table_path="items.csv", consensus_max_depth=1)
+    whole = a.whole_documents(spark, d).select("concept_id", F.col("term").alias("description"))
+    pools = pipeline.Pools(whole, docs.select("concept_id", "definition").where("definition <> ''"), docs, _source_graph(spark, d))
+    cfg = pipeline.MappingConfig(table_path="items.csv", consensus_max_depth=1, methods=methods)
     final = pipeline.run(records, pools, cfg)["final_candidates"]
-    return final.select("row_id", "test_name", "final_concept_id", "support_score", "n_methods_agreeing", F.array_join("final_candidate_ids", ",").alias("final_candidate_ids"))
+    return final.select("row_id", "test_name", "final_concept_id", "support_score", F.col("n_methods_agreeing").cast("long").alias("n_methods_agreeing"), F.array_join("final_candidate_ids", ",").alias("final_candidate_ids"))
+
+
+def pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical methods over the benchmark items to the final candidates."""
+    return _mapping(spark, d, EXACT)
+
+
+def pipeline_all_methods(spark: SparkSession, d: str) -> DataFrame:
+    """All six methods, with the built-in embedder and generator; their hashes are not SQL's."""
+    return _mapping(spark, d, fusion.METHODS)
+
+
+def generated_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct record's text asked for once, of a generator that repeats the query value."""
+    people = _people(spark, d)
+    cfg = pipeline.MappingConfig(table_path="customer.csv", query_column="c_name", context_columns=CONTEXT, model=generation.echo)
+    return pipeline.prepare(people.withColumn("row_id", F.col("c_custkey")), cfg).select("c_custkey", "ai_key", "algorithm_ai_text", "ai_error")
+
+
+def experiment_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Prompt experiments asked of the same generator."""
+    rows = a.table(spark, d, "customer").select(F.col("c_custkey").alias("sample_index"), F.col("c_name").alias("test_name"), F.col("c_mktsegment").alias("spec_type_desc"))
+    models = ("model-a", "model-b")
+    grid = generation.experiment_grid(rows, "test_name", ("spec_type_desc",), models)
+    return generation.run_experiment(grid, generation.echo, models).select("sample_index", "prompt_type", "shot_type", "model", "ai_output")
+
+
+def null_counts(spark: SparkSession, d: str) -> DataFrame:
+    return terminology.count_report(a.table(spark, d, "documents"))
 
 
 NAMES = (
@@ -316,6 +346,6 @@ NAMES = (
     "distinct_query_lookup jaccard_topk ngram_postings dense_topk dense_topk_pairs dense_topk_combined_source bm25_topk fuzzy_topk "
     "ancestors_depth_k ancestors_all common_ancestors nearest_common_ancestor related_pairs_common related_pairs_lineage method_comparison method_comparison_fuzzy "
     "vote_aggregation clusters cluster_common_ancestor consensus_topk consensus_summary valid_code_sets hit_at_k_strict hit_at_k_lineage "
-    "hit_at_k_related method_scores pipeline_end_to_end"
+    "hit_at_k_related method_scores pipeline_end_to_end pipeline_all_methods generated_texts experiment_outputs null_counts"
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from termweave.operators.hierarchy import IS_A
+from termweave.sources.settled import settled
 
 # Description types of the release format.
 FULL_NAME, SYNONYM = "900000000000003001", "900000000000013009"
@@ -47,6 +48,18 @@ def with_query(df: DataFrame, column: str = "diagnosis_text", source: str = "dia
     return df.withColumn(column, F.replace(F.col(source), F.lit("|"), F.lit(" - "))) if source in df.columns else df
 
 
+def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Numbers rows that have no id of their own, once: the numbered table is written."""
+    return df if name in df.columns else settled(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def count_report(df: DataFrame) -> DataFrame:
+    """(column, rows, nulls) of every column, by one aggregate."""
+    sums = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls")) for i, c in enumerate(df.columns)]))
+    return sums.select(each.alias("x"), "rows").select("x.column", "rows", "x.nulls")
+
+
 def code_columns(df: DataFrame, names: Sequence[str] = ("snomed", "icd9", "icd10")) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in names if c in df.columns})
 

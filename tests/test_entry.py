@@ -11,7 +11,8 @@ def test_imports_without_the_optional_part(monkeypatch):
     import importlib.util
 
     found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("termweave.llm", "corpus_pipeline") else found(name, *a))
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "termweave.llm" else found(name, *a))
+    assert "pipeline" not in entry.queries() and not set(entry.oracle_sql()) - set(entry.queries())
     assert not any(n.startswith("op") and n[2].isdigit() or n == "pipeline" for n in entry.queries())
     importlib.reload(entry)
 

@@ -260,16 +260,122 @@ def test_checkpoints_and_pipeline(spark, tmp_path):
     out = pipeline.run(records, pools, cfg, keep)
     final = {r.row_id: r.final_concept_id for r in out["final_candidates"].collect()}
     assert final[1] == final[2] == "A" and final[4] == "C" and set(final) == {1, 2, 3, 4}
-    assert out["comparison"].count() == 4 and keep.done("jaccard", {"table": "queries", "query": "diagnosis_text", "context": (), "k": 2, "n": 3})
-    assert not keep.done("jaccard", {"table": "queries", "query": "diagnosis_text", "context": (), "k": 3, "n": 3})
+    assert out["comparison"].count() == 4
+    count = lambda: len(list((tmp_path / "ck" / "method=jaccard").iterdir()))
+    assert count() == 1
     again = pipeline.run(records, pools, cfg, keep)["final_candidates"]
-    assert {r.row_id: r.final_concept_id for r in again.collect()} == final
+    assert {r.row_id: r.final_concept_id for r in again.collect()} == final and count() == 1
+    # changed records, pools or settings never meet old results
+    more = records.union(spark.createDataFrame([(5, "failure of the heart")], records.schema))
+    assert {r.row_id: r.final_concept_id for r in pipeline.run(more, pools, cfg, keep)["final_candidates"].collect()} == final | {5: "B"} and count() == 2
+    fewer = pipeline.Pools(pools.short_terms.where("concept_id <> 'A'"), pools.definitions.limit(0), docs.where("concept_id <> 'A'"), edges(spark))
+    assert {r.final_concept_id for r in pipeline.run(records, fewer, cfg, keep)["final_candidates"].where("row_id = 1").collect()} == {"B"} and count() == 3
+    stale = next((tmp_path / "ck" / "method=jaccard").iterdir())
+    before = {x.name for x in stale.iterdir()}
+    pipeline.run(records, pools, pipeline.MappingConfig(top_k=2, methods=("jaccard",), fresh_start=True), keep)
+    assert any({x.name for x in f.iterdir()} != before for f in (tmp_path / "ck" / "method=jaccard").iterdir() if f == stale) or count() == 3
     sinks.write_scores(out["comparison"].select("row_id"), str(tmp_path / "scores"))
     sinks.write_results(out["data"], str(tmp_path / "data"))
     assert "algorithm_ai_metadata" not in spark.read.parquet(str(tmp_path / "data")).columns
     assert spark.read.parquet(sinks.keep_index(jaccard.candidate_postings(docs, "term", "doc_id"), str(tmp_path), {"n": 3}, 2)).count() > 0
 
 
+def test_kept_indexes_give_the_same_matches(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "heart attack", "an infarction"), (2, "heart failure", None), (3, "broken arm", None), (4, "", None)], "doc_id long, term string, definition string")
+    queries = spark.createDataFrame([("heart atack",), ("arm",), ("infarction heart",)], "query string")
+    index = bm25.build_index(docs)
+    bm25.write_index(index, str(tmp_path / "bm25"), 2)
+    back = bm25.read_index(spark, str(tmp_path / "bm25"))
+    for f in (bm25.multi_match, bm25.fuzzy_match):
+        rows = lambda i, f=f: sorted(map(tuple, f(queries, i, k=3).collect()))
+        assert rows(index) == rows(back) != []
+    plain = sorted(map(tuple, jaccard.match(queries, docs, "query", "term", "doc_id", 2).collect()))
+    for made in (jaccard.candidate_postings(docs, "term", "doc_id"), jaccard.postings(docs, "term")):
+        path = sinks.keep_index(made, str(tmp_path), {"n": 3, "columns": made.columns}, 2)
+        assert sorted(map(tuple, jaccard.match(queries, docs, "query", "term", "doc_id", 2, index=spark.read.parquet(path)).collect())) == plain != []
+
+
+def test_near_terms_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(250)} | {"a" * 30, "a" * 31, "ab" * 13, "ab" * 12, "ab" * 12 + "ba"})
+    frame = spark.createDataFrame([(w,) for w in words], "own string")
+    got = {(r.own, r.token): r.edits for r in bm25.expansions(frame, frame.withColumnRenamed("own", "token"), most=10_000).collect()}
+    allowed = lambda w: 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
+    assert got == {(a, b): e for a in words for b in words if a[0] == b[0] and abs(len(a) - len(b)) <= 2 and (e := bm25._osa(a, b)) <= allowed(a)}
+
+
+def test_far_ancestors_and_cycles(spark):
+    chain = edges(spark, [(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n12", "n0")])
+    starts = spark.createDataFrame([("n0",)], "concept_id string")
+    assert {(r.ancestor, r.distance) for r in hierarchy.ancestors(starts, chain, None).collect()} == {(f"n{i}", i) for i in range(13)}
+    assert {r.distance for r in hierarchy.ancestors_few_hops(starts, chain, 7).collect()} == set(range(8))
+
+
+def test_generated_texts_and_experiments(spark, tmp_path):
+    """Each key is asked for once, failures stay errors without matches and are tried again, stored texts are not."""
+    records = spark.createDataFrame([("heart", "x"), ("heart", "x"), ("arm", "y"), ("bad", "z")], "diagnosis_text string, unit string")
+    log = str(tmp_path / "calls")
+
+    def factory(broken):
+        def make():
+            def generate(messages, model, temperature):
+                value = generation.echo()(messages, model, temperature)
+                with open(log, "a") as out:
+                    out.write(value + "\n")
+                if value == broken:
+                    raise OSError("down")
+                return f"{value} text"
+
+            return generate
+
+        return make
+
+    cfg = lambda broken: pipeline.MappingConfig(table_path="t.csv", context_columns=("unit",), model=factory(broken), text_store=str(tmp_path / "texts"), attempts=2, pause=0.0, top_k=1, methods=("algorithm_ai",))
+    first = pipeline.prepare(records, cfg("bad"))
+    assert sorted((r.diagnosis_text, r.algorithm_ai_text, r.ai_error) for r in first.collect())[0:2] == [("arm", "arm text", None), ("bad", None, "OSError: down")]
+    assert len({r.row_id for r in first.collect()}) == 4
+    assert sorted(open(log).read().split()) == ["arm", "bad", "bad", "heart"]
+    pool = spark.createDataFrame([("A", "heart text"), ("B", "arm text"), ("C", None)], "concept_id string, description string")
+    docs = spark.createDataFrame([], "doc_id long, concept_id string, term string, definition string")
+    pools = pipeline.Pools(pool, spark.createDataFrame([], "concept_id string, definition string"), docs, None)
+    found = pipeline.retrieve(first, pools, cfg("bad")).join(first.select("row_id", "diagnosis_text"), "row_id").collect()
+    assert sorted((r.diagnosis_text, r.concept_id) for r in found) == [("arm", "B"), ("heart", "A"), ("heart", "A")]
+    second = pipeline.prepare(records, cfg("none"))
+    assert {r.diagnosis_text: r.algorithm_ai_text for r in second.collect()} == {"heart": "heart text", "arm": "arm text", "bad": "bad text"}
+    assert sorted(open(log).read().split())[:2] == ["arm", "bad"] and open(log).read().split().count("heart") == 1
+    sample = spark.createDataFrame([(1, "heart", "x")], "sample_index long, test_name string, spec_type_desc string")
+    grid = generation.experiment_grid(sample, "test_name", ("spec_type_desc",), ("m1", "m2"))
+    outputs = generation.run_experiment(grid, lambda: lambda m, model, t: 1 / 0 if model == "m2" else "heart text", ("m1", "m2"), attempts=1)
+    rows = outputs.collect()
+    assert len(rows) == 12 and {(r.model, r.ai_output, r.error is None) for r in rows} == {("m1", "heart text", True), ("m2", None, False)}
+    mapped = pipeline.map_experiment(outputs, pools, pipeline.MappingConfig(top_k=1)).collect()
+    assert len(mapped) == 6 and {(r.model, r.concept_id) for r in mapped} == {("m1", "A")}
+    done = outputs.where("ai_output is not null").select("key", "ai_output")
+    again = generation.run_experiment(grid, lambda: lambda m, model, t: "new", ("m1", "m2"), done).collect()
+    assert {(r.model, r.ai_output) for r in again} == {("m1", "heart text"), ("m2", "new")}
+
+
+def test_small_writers_and_settings(spark, tmp_path, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id long, vector array<float>")
+    sinks.write_vectors(vectors, str(tmp_path / "v"), 5, 2)
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 5
+    with pytest.raises(ValueError):
+        sinks.write_vectors(vectors, str(tmp_path / "w"), 6)
+    sinks.write_pools({"isa": edges(spark), "definitions": vectors}, str(tmp_path / "pools"))
+    assert sinks.read_pools(spark, str(tmp_path / "pools"), ("isa",))["isa"].count() == len(EDGES)
+    report = {r.column: (r.rows, r.nulls) for r in terminology.count_report(spark.createDataFrame([(1, None), (2, "x")], "a long, `b.c` string")).collect()}
+    assert report == {"a": (2, 0), "b.c": (2, 1)}
+    cells = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0])], "v array<array<double>>, m array<int>")
+    assert [r[0] for r in cells.select(text.masked_mean(F.col("v"), F.col("m"))).collect()] == [[2.0, 3.0], None]
+    monkeypatch.setenv("TERMWEAVE_TOP_K", "7")
+    monkeypatch.setenv("TERMWEAVE_METHODS", "jaccard,multi_match")
+    monkeypatch.setenv("TERMWEAVE_FRESH_START", "true")
+    cfg = pipeline.MappingConfig.from_env(table_path="x/y.csv")
+    assert (cfg.top_k, cfg.methods, cfg.fresh_start, cfg.table_name) == (7, ("jaccard", "multi_match"), True, "y")
+    empty = generation.embed_missing(spark.createDataFrame([(1, None), (2, "x")], "k long, t string"), None, "k", "t", generation.hashing).collect()
+    assert {r.k: r.vector is None for r in empty} == {1: True, 2: False}
+
+
 def test_stream(spark, tmp_path):
     from termweave.streaming.incremental import map_stream
 

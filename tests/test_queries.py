@@ -14,7 +14,7 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_fuzzy_comparison_searches_whole_items(spark):
+def test_comparison_searches_whole_items(spark):
     items, docs = ({r.text for r in spark.read.parquet(f"{SF}/{t}.parquet").collect()} for t in ("benchmark", "documents"))
     found = QUERIES["method_comparison_fuzzy"](spark, SF).collect()
     assert {r.test_name for r in found} == items
