@@ -56,7 +56,7 @@ def ngrams(c: Column, n: int = 3) -> Column:
         raise ValueError("n must be 1 or more")
 
     def grams(ch: Column) -> Column:
-        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ch) - (n - 1)), lambda i: F.array_join(F.slice(ch, i, F.lit(n)), "")))
+        many = F.array_distinct(F.filter(F.transform(ch, lambda x, i: F.concat(x, *[F.get(ch, i + k) for k in range(1, n)])), lambda g: g.isNotNull()))
         return F.when(F.size(ch) == 0, F.array().cast("array<string>")).when(F.size(ch) < n, F.array(F.array_join(ch, ""))).otherwise(many)
 
     return bound(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), grams)
