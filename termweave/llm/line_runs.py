@@ -56,6 +56,7 @@ def _windows(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> Dat
         pairs = ahead.where(F.col("later.seq") == F.col("seq") + step).select("doc", "own", "seq", "i", F.col("name").alias("head"), F.col("later.name").alias("tail"))
         span += step
         named = scratch.keep(_named(pairs, ["head", "tail"], scratch, f"pairs-{span}"), f"named-{span}")
+    scratch.only(f"named-{span}")
     return named.where(~F.col("name").eqNullSafe(F.struct("doc", "own", "seq"))).select("doc", "own", "seq", "i")
 
 

@@ -299,6 +299,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     texts = shared.IdFilter.hashed(data.select("doc", "own", "text"), "doc").mapInArrow(having_border, "doc long, own int, text string")
     looked = texts.join(border, ["doc", "own"]).select("doc", "own", "text", "places").mapInArrow(windows, MARKS).repartition(parts, "bucket").sortWithinPartitions("bucket")
     spans = scratch.keep(looked.mapInArrow(meet_windows, MARKS).select("doc", "own", "start", F.col("extra").alias("end")), "spans")
+    scratch.only("marks", "spans")
     scratch.tidy()
     whole = marks.where(F.col("kind") == COVERED).select("doc", "own", (F.col("start") - 2 * p.reach + 1).alias("start"), (F.col("start") + p.length - p.reach).alias("end"))
     gone = whole.unionByName(spans).groupBy("doc", "own").agg(F.collect_set(F.struct("start", "end")).alias("gone"))

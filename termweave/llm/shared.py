@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -22,16 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only a local session without it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # several machines, or processes that stand for them
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="termweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def sweep(spark: SparkSession, hours: float = 24.0) -> int:
+    """Deletes what operators left in the shared folder (tables that their lazy results read) more than ``hours`` ago;
+    returns the number of folders. To be called between jobs, when no older result is read any more."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own = re.compile(r"(signature-trees|latent-leaks|line-runs|prefix-free|packed-ids|pipeline|leaks|settled)-[0-9a-f]{32}")
+    old = [f.getPath() for f in fs.listStatus(root) if own.fullmatch(f.getPath().getName()) and f.getModificationTime() < (time.time() - 3600 * hours) * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
 class Scratch:
-    """Tables of one operator run in the shared folder. ``keep`` cuts lineage by a written table;
-    ``drop`` deletes what later steps no longer read."""
+    """Tables of one operator run in the shared folder. ``keep`` cuts lineage by a written table; ``drop`` and ``only``
+    delete what later steps no longer read, and ``sweep`` what results of earlier jobs have read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -50,6 +66,13 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(self.path(table))
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def only(self, *tables: str) -> None:
+        """Deletes all tables of this run but ``tables``, which a result still reads."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.drop(*({f.getPath().getName() for f in fs.listStatus(root)} - set(tables)))
+
     def tidy(self) -> None:
         """Lets Spark's cleaner remove shuffle files of plans that are no longer referenced."""
         self.spark.sparkContext._jvm.System.gc()

@@ -548,6 +548,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     known = joint.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "set_id"))
     lowest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     target = scratch.keep(known.join(lowest, "component").select("set_id", "component_id"), "target")
+    scratch.only("sketch", "target")
     return members.join(target, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

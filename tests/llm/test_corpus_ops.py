@@ -405,3 +405,50 @@ def test_pipeline_stages(spark, tmp_path):
     assert [sorted(a - b) for a, b in itertools.pairwise(left)] == [[5, 6], [2], [4], [7], []]
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in whole.collect()} == left[-1]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, an empty benchmark, null and shared ids, repeated rows and columns with clashing names."""
+    rng = random.Random(14)
+    item = prose(rng, 30)
+    base = [prose(rng, 60) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(3, base[3]), (None, base[0] + " " + item), (None, prose(rng, 50)), (20, None), (None, None), (21, ""), (5, "some other text of its own " + prose(rng, 40))]
+    docs = frame(spark, rows).withColumn("n_lines", F.lit("clash"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    left = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, left, str(tmp_path)).write.parquet(str(tmp_path / f"o{k}"))
+        left = spark.read.parquet(str(tmp_path / f"o{k}"))
+        assert left.columns == docs.columns and left.select("score", "component_id", "n_lines").distinct().collect() == [("clash",) * 3], name
+    texts = [r.text for r in left.collect()]
+    assert sum(t == base[3] for t in texts) == 2 and not any(item in t for t in texts)
+    assert sorted(set(texts)) == sorted({t for _, t in rows if t and item not in t})
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path / "none")).count() == len(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte in the operators that look across documents."""
+    rng = random.Random(15)
+    long = prose(rng, 220_000)
+    item = prose(rng, 40)
+    assert len(long) > 1 << 20
+    rows = [(1, long + " " + item + " tail"), (2, prose(rng, 50)), (3, "intro " + long[5_000:900_000])]
+    leaks = latent_leaks.find_leaks(frame(spark, rows), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in leaks} == {(1, 9)}
+    cut = {r.doc_id: r for r in prefix_free.remove_repeats(frame(spark, rows)).collect()}
+    assert cut[3].n_removed == 895_000 and cut[1].n_removed == 895_000 and cut[2].n_removed == 0
+    lines = long.replace(" ", "\n")
+    found = {r.doc_id: (r.n_lines, r.n_removed) for r in line_runs.dedup_lines(frame(spark, [(1, lines), (2, lines + "\nend")])).collect()}
+    assert found[1][0] == 220_000 and found[2][1] >= 220_000
+
+
+def test_old_tables_are_swept(spark):
+    scratch = shared.Scratch(spark, "line-runs")
+    kept = scratch.keep(spark.range(3), "a")
+    scratch.keep(spark.range(3), "b")
+    scratch.only("a")
+    assert kept.count() == 3 and shared.sweep(spark, 1.0) == 0 and kept.count() == 3
+    assert shared.sweep(spark, -1.0) >= 1

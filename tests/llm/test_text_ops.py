@@ -348,3 +348,26 @@ def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (None, None, None, None), (1, "u", "<p>a</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.text) for r in page_layout.extract_pages(df).collect()) == [("1", "a"), ("1", "a"), ("None", "")]
     assert queries.QUERIES["op7_page_layout"](spark, SF).where("n_chars > 0").count() > 0
+
+
+def test_empty_tables_and_very_long_texts(spark):
+    """Maps over texts of over a megabyte, and over nothing."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    long = "plain words and more of them, again " * 40_000
+    rows = [(1, long), (2, "short text of a few words")]
+    train = spark.createDataFrame(langs(), "doc_id long, text string, lang string")
+    model = kernel_langid.train(train)
+    assert kernel_langid.predict(frame(spark).limit(0), model).count() == 0
+    assert len(kernel_langid.predict(frame(spark, rows), model).collect()) == 2
+    pages = spark.createDataFrame([(1, "<p>" + long + "</p>")], "page_id long, html string")
+    assert page_layout.extract_pages(pages.limit(0)).count() == 0
+    assert page_layout.extract_pages(pages).first().n_chars == len(long) - 1
+    assert piece_codec.encode_documents(frame(spark).limit(0), path).count() == 0
+    encoded = {r.doc_id: r for r in piece_codec.encode_documents(frame(spark, rows), path).collect()}
+    assert all(r.decoded_ok and r.parity for r in encoded.values()) and encoded[1].n_tokens > 100_000
+    quality = {r.doc_id: r for r in compression_bands.compression_quality(frame(spark, rows)).collect()}
+    assert quality[1].n_words == 280_000 and not quality[1].kept
+    files = {r.doc_id: r.n_tokens for r in packed_ids.write_and_read(spark, frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert files[1] > 100_000 and len(files) == 2
