@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -67,24 +69,33 @@ def code_columns(df: DataFrame, names: Sequence[str] = ("snomed", "icd9", "icd10
 def vectors_from_npy(spark: SparkSession, ids: DataFrame, id_column: str, order: str, path: str, rows: int = 10_000) -> DataFrame:
     """One-off import of a matrix file whose row i belongs to the i-th id by ``order``: (id_column, vector).
 
-    The file is mapped and read in pieces of ``rows`` vectors; counts must agree.
+    Counts must agree. The file, in a folder that all machines share, is mapped on the executors and read in pieces of
+    ``rows`` vectors; ids are numbered by ranges of ``order``, with only the number of rows of each range on the driver.
     """
     import numpy as np
+    import pyarrow as pa
 
-    matrix = np.load(path, mmap_mode="r")
     n = ids.count()
-    if len(matrix) != n:
-        raise ValueError(f"{len(matrix)} vectors for {n} ids")
-
-    def piece(i: int) -> Iterator[tuple]:
-        return ((k, [float(x) for x in matrix[k]]) for k in range(i, min(n, i + rows)))
-
-    parts = [spark.createDataFrame(list(piece(i)), "place long, vector array<float>") for i in range(0, n, rows)]
-    vectors = parts[0]
-    for p in parts[1:]:
-        vectors = vectors.unionByName(p)
-    # positions of a whole table need one order; this is an import, not a query
-    numbered = ids.select(id_column, order).rdd.sortBy(lambda r, o=order: r[o]).zipWithIndex().map(lambda x: (*x[0], x[1])).toDF([id_column, order, "place"])
+    size = len(np.load(path, mmap_mode="r"))
+    if size != n:
+        raise ValueError(f"{size} vectors for {n} ids")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.load(path, mmap_mode="r")
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                part = np.asarray(matrix[start : start + rows], np.float32)
+                flat = pa.array(part.ravel())
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(part))), pa.ListArray.from_arrays(ends, flat)], names=["place", "vector"])
+
+    vectors = spark.range(0, n, rows).mapInArrow(pieces, "place long, vector array<float>")
+    dealt = settled(ids.select(id_column, order).repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id()))
+    counts = sorted(map(tuple, dealt.groupBy("part").count().collect()))
+    first = dict(zip((k for k, _ in counts), itertools.accumulate((c for _, c in counts), initial=0), strict=False))
+    base = spark.createDataFrame([(k, b) for k, b in first.items()], "part int, base long")
+    place = F.row_number().over(W.partitionBy("part").orderBy(order)) - 1
+    numbered = dealt.withColumn("inside", place).join(F.broadcast(base), "part").select(id_column, (F.col("base") + F.col("inside")).alias("place"))
     return numbered.join(vectors, "place").select(id_column, "vector")
 
 
