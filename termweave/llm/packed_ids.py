@@ -114,14 +114,18 @@ def write_shard(out, docs: list[int | None], lengths: list[int], ids: Iterator[n
         out.write(pack(np.concatenate(held), width))
 
 
-_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
-_LOOSE = [p for c in _BLANKS for p in (c + " ", " " + c)]
-_LOOSE_ASCII = [p for p in _LOOSE if p.isascii()]
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_WHITE_ASCII = [c for c in _WHITE if c.isascii()]
 
 
 def _loose(text: str) -> bool:
     """Whether some blank has other white space, or the text's end, beside it."""
-    return text[0] == " " or text[-1] == " " or any(p in text for p in (_LOOSE_ASCII if text.isascii() else _LOOSE))
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return True
+    for c in _WHITE_ASCII if text.isascii() else _WHITE:
+        if c in text and (c + " " in text or " " + c in text):  # a single character is found much faster
+            return True
+    return False
 
 
 class ChunkEncoder:
@@ -168,7 +172,10 @@ class ChunkEncoder:
     def keys(self, text: str) -> list[str]:
         if not self.chunked:
             return [" " + text] if text else []
-        if not any(m in text for m in self.marks):
+        for m in self.marks:
+            if m in text:
+                break
+        else:
             return self.plain(text)
         parts = self.added.split(text)  # every second one is an added token
         return [k for i, part in enumerate(parts) for k in ([" " + part] if i % 2 else self.plain(part))]

@@ -133,13 +133,12 @@ def signature(tokens: np.ndarray) -> bytes:
 
 
 def entries_of(tokens: np.ndarray, own: int, levels: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """The set's entries for its first tokens in the corpus' order, without those that no other text has, and their levels."""
+    """The set's entries for its first tokens in the corpus' order, and the tokens' levels."""
     level = levels[_counter(tokens, join.order_bits)]
     order = np.argsort((level.astype(np.uint64) << U64(56)) | (wordhash.mix(tokens) >> U64(8)), kind="stable")[: join.prefix(len(tokens))]
-    place = np.flatnonzero(level[order])
-    out = np.zeros(len(place), ENTRY)
-    out["token"], out["set"], out["n"], out["place"] = tokens[order][place], own, len(tokens), place
-    return out, level[order][place]
+    out = np.zeros(len(order), ENTRY)
+    out["token"], out["set"], out["n"], out["place"] = tokens[order], own, len(tokens), np.arange(len(order))
+    return out, level[order]
 
 
 def _salts(levels: np.ndarray, join: Join) -> np.ndarray:
@@ -466,8 +465,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     ignored; an empty table gives an empty one.
 
     Every text is parsed twice (token order, sketch), and one text of each set in a pair that bitmaps leave once or twice
-    more. What crosses the network: 24 bytes for each of a set's first tokens that another text may have (a fifth of
-    the shingles at 0.8), a bitmap of 2 to 4 bits a token for the sets that meet others, and the tokens of pairs left.
+    more. What crosses the network: 24 bytes for each of a set's first tokens (a fifth of the shingles at 0.8), a bitmap of 2 to 4 bits a token for the sets that meet others, and the tokens of pairs left.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "signature-trees")
@@ -480,6 +478,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     dealt = data.mapInArrow(_sketch(join, buckets, held), SKETCH).repartition(parts, "bucket").sortWithinPartitions("bucket")
     first = scratch.keep(dealt.mapInArrow(_meet(join, held), "doc_id long, set_id long, n long, bits binary, token long, place int"), "sketch")
     scratch.tidy()
+    held.destroy()
     members = first.where("token is null").select("doc_id", "set_id", "n")
     sets = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     entries = first.where("token is not null").select("token", "set_id", "n", "place")

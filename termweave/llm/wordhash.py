@@ -7,8 +7,6 @@ point pattern ``[^\\x20\\x09-\\x0D]+``. A word's fingerprint is a polynomial ove
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
@@ -24,7 +22,6 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 
-@functools.cache
 def _powers(which: int, inverse: bool, n: int) -> np.ndarray:
     base = BASES[which]
     if inverse:
@@ -34,11 +31,18 @@ def _powers(which: int, inverse: bool, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
+#: The longest powers made so far, one array of each kind; those of very long texts are not kept.
+_kept: dict[tuple[int, bool], np.ndarray] = {}
+KEPT = 5 << 18
+
+
 def powers(which: int, inverse: bool, n: int) -> np.ndarray:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size > 1 << 23:  # a very long text: not worth keeping
-        return _powers.__wrapped__(which, inverse, n)
-    return _powers(which, inverse, size)[:n]
+    if n > KEPT:
+        return _powers(which, inverse, n)
+    found = _kept.get((which, inverse))
+    if found is None or len(found) < n:
+        found = _kept[which, inverse] = _powers(which, inverse, min(KEPT, max(1 << 16, n + n // 4)))
+    return found[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
