@@ -23,7 +23,7 @@ class ChunkStore:
 
     STEP = 4096
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, list[bool]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, list[bool]]], limit: int = 650_000):
         self.encode, self.limit = encode, limit
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
