@@ -254,10 +254,6 @@ SQL: dict[str, str] = {
         SELECT i.row_id, i.query AS test_name, f.concept_id AS final_concept_id, coalesce(round_even(f.cp / 20.0::DOUBLE, 3), 0.0) AS support_score, CAST(coalesce(len(f.ms), 0) AS BIGINT) AS n_methods_agreeing,
                coalesce(l.ids, '') AS final_candidate_ids
         FROM items i LEFT JOIN fin f ON f.row_id = i.row_id AND f.rank = 1 LEFT JOIN lst l ON l.row_id = i.row_id""",
-    "method_comparison_fuzzy": f"""WITH {MATCHES}, {_fuzzy_terms("items", "fld", "ft")}, {_bm25("ft", "fld", "fz")},
-        all3 AS (SELECT * FROM mat UNION ALL SELECT query, 'elastic_fuzzy', rank, doc_id, score FROM fz), one AS (SELECT all3.*, term FROM all3 JOIN fld USING (doc_id) WHERE rank = 1)
-        SELECT i.row_id, i.query AS test_name, {", ".join(f"CAST({m}.doc_id AS VARCHAR) AS {m}_concept_id, {m}.term AS {m}_match, {m}.score AS {m}_score" for m in ("multi_match", "elastic_fuzzy", "jaccard"))}
-        FROM items i {" ".join(f"LEFT JOIN one {m} ON {m}.query = i.query AND {m}.method = '{m}'" for m in ("multi_match", "elastic_fuzzy", "jaccard"))}""",
     "generated_texts": f"WITH {PEOPLE} SELECT c_custkey, 'customer|c_name|' || {NAME} || '|c_mktsegment=' || {SEGMENT} || '|n_name=' || {NATION} AS ai_key, {_MISS(NAME)} AS algorithm_ai_text, CAST(NULL AS VARCHAR) AS ai_error FROM peo",
     "experiment_outputs": f"""WITH b AS (SELECT c_custkey AS sample_index, {NAME} AS query_value, {SEGMENT} AS seg FROM customer),
         p AS (SELECT sample_index, 'named' AS prompt_type, {_MISS("query_value")} AS ai_output FROM b
