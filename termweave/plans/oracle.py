@@ -124,7 +124,8 @@ DENSE_OTHERS = DENSE.format(keep="AND q.vec_id <> c.vec_id")
 
 MATCHES = f"""{ITEMS}, {FIELDED}, {_terms("items", "tm")}, {_bm25("tm", "fld", "mm")},
 pool AS (SELECT doc_id AS concept_id, text AS term FROM documents), {_jaccard("items", "pool", "jc")},
-mat AS (SELECT query, 'multi_match' AS method, rank, doc_id, score FROM mm UNION ALL SELECT query, 'jaccard', rank, concept_id, jaccard_score FROM jc)"""
+mat AS (SELECT query, 'multi_match' AS method, rank, doc_id, score, term AS text FROM mm JOIN fld USING (doc_id)
+        UNION ALL SELECT query, 'jaccard', rank, concept_id, jaccard_score, term FROM jc)"""
 LISTS = f"""{MATCHES}, lis AS (SELECT i.row_id, i.query, m.method, CASE m.method WHEN 'multi_match' THEN 0 ELSE 1 END AS i, m.rank, m.doc_id FROM items i JOIN mat m ON m.query = i.query)"""
 
 
@@ -243,8 +244,8 @@ SQL: dict[str, str] = {
         FROM p JOIN clo x ON x.s = a JOIN clo y ON y.s = b AND y.anc = x.anc) WHERE k = 1""",
     "related_pairs_common": f"WITH {GEO}, {PAIRS}, {_related('p', 1, 'common')} SELECT p.a, p.b, rlt.a IS NOT NULL AS related FROM p LEFT JOIN rlt ON rlt.a = p.a AND rlt.b = p.b",
     "related_pairs_lineage": f"WITH {GEO}, {PAIRS}, {_related('p', 2, 'lineage')} SELECT p.a, p.b, rlt.a IS NOT NULL AS related FROM p LEFT JOIN rlt ON rlt.a = p.a AND rlt.b = p.b",
-    "method_comparison": f"""WITH {MATCHES}, one AS (SELECT mat.*, term FROM mat JOIN fld USING (doc_id) WHERE rank = 1)
-        SELECT i.row_id, i.query AS test_name, {", ".join(f"CAST({m}.doc_id AS VARCHAR) AS {m}_concept_id, {m}.term AS {m}_match, {m}.score AS {m}_score" for m in ("multi_match", "jaccard"))}
+    "method_comparison": f"""WITH {MATCHES}, one AS (SELECT * FROM mat WHERE rank = 1)
+        SELECT i.row_id, i.query AS test_name, {", ".join(f"CAST({m}.doc_id AS VARCHAR) AS {m}_concept_id, {m}.text AS {m}_match, {m}.score AS {m}_score" for m in ("multi_match", "jaccard"))}
         FROM items i {" ".join(f"LEFT JOIN one {m} ON {m}.query = i.query AND {m}.method = '{m}'" for m in ("multi_match", "jaccard"))}""",
     "vote_aggregation": f"WITH {LISTS}, {_votes(3)} SELECT row_id, concept_id, points, array_to_string(methods, ',') AS methods, ord FROM vot",
     "clusters": f"WITH RECURSIVE {CLUSTERS} SELECT row_id, concept_id, ord, cluster FROM clu",

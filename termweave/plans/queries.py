@@ -201,15 +201,15 @@ def _matches(spark: SparkSession, d: str, methods: tuple[str, ...]) -> DataFrame
     names = docs.select("doc_id", "concept_id", F.col("term").alias("text"))
     whole = a.whole_documents(spark, d)
     makers = {
-        "multi_match": lambda: bm25.multi_match(rows, index, "query", 5),
-        "elastic_fuzzy": lambda: bm25.fuzzy_match(rows, index, "query", 5),
-        "jaccard": lambda: jaccard.match(rows, whole, "query", "term", "doc_id", 5, 3, text.clean).select("query", F.col("concept_id").alias("doc_id"), "rank", F.round("jaccard_score", 6).alias("score")),
+        "multi_match": lambda: bm25.multi_match(rows, index, "query", 5).join(names, "doc_id"),
+        "elastic_fuzzy": lambda: bm25.fuzzy_match(rows, index, "query", 5).join(names, "doc_id"),
+        "jaccard": lambda: jaccard.match(rows, whole, "query", "term", "doc_id", 5, 3, text.clean).select("query", F.col("concept_id").cast("string").alias("concept_id"), F.col("term").alias("text"), "rank", F.round("jaccard_score", 6).alias("score")),
     }
     out = None
     for method in methods:
-        part = makers[method]().select("query", F.lit(method).alias("method"), "rank", "doc_id", "score")
+        part = makers[method]().select("query", F.lit(method).alias("method"), "rank", "concept_id", "text", "score")
         out = part if out is None else out.unionByName(part)
-    return settled(rows.join(out, "query").join(names, "doc_id").select("row_id", "query", "method", "rank", "concept_id", "text", "score"))
+    return settled(rows.join(out, "query").select("row_id", "query", "method", "rank", "concept_id", "text", "score"))
 
 
 EXACT = ("multi_match", "jaccard")
