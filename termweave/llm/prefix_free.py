@@ -195,7 +195,7 @@ def _runs(doc: np.ndarray, own: np.ndarray, start: np.ndarray, length: int) -> t
 
 def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and if asked for the kept bytes (``kept``) and
-    ``text``, which is the same without characters that were cut in two.
+    ``text``, the characters all of whose bytes are kept (halves on both sides of a removed run never make a new one).
 
     Removes each byte covered by a string of ``length`` UTF-8 bytes that also starts anywhere else in the input, in
     the same document too; all copies go, judged on the input. A null text is empty. Rows are told apart by 96 bits of id
@@ -317,8 +317,30 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
                     at = max(at, span[1])
                 kept.append(text[at:])
                 left = b"".join(kept)
-                rows.append((doc, len(text), len(text) - len(left), spans, hashlib.sha256(left).hexdigest(), left if keep_text else None, left.decode(errors="ignore") if keep_text else None))
+                rows.append((doc, len(text), len(text) - len(left), spans, hashlib.sha256(left).hexdigest(), left if keep_text else None, "".join(x.decode(errors="ignore") for x in kept) if keep_text else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.string()], strict=True)], names=[x.split()[0] for x in out.split(", ")])
 
     done = data.join(gone, ["doc", "own"], "left").select("doc_id", "text", "gone").mapInArrow(result, out)
     return done if keep_text else done.drop("kept", "text")
+
+
+#: Windows of 400 bytes by their md5; kept pieces as hexadecimal, of which characters that were cut are taken off at both ends.
+SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, bytes, unnest(range(1, n - 398)) AS pos FROM b WHERE n >= 400),
+w AS (SELECT doc_id, pos, md5_number(array_slice(bytes, pos, pos + 399)) AS name FROM s),
+r AS (SELECT doc_id, pos FROM w WHERE name IN (SELECT name FROM w GROUP BY name HAVING count(*) > 1)),
+f AS (SELECT doc_id, pos, pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 400, 0) AS fresh FROM r),
+g AS (SELECT doc_id, pos, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f),
+gone AS (SELECT doc_id, min(pos) AS low, max(pos) + 400 AS high FROM g GROUP BY doc_id, run),
+edges AS (SELECT doc_id, low, high FROM gone UNION ALL SELECT doc_id, n + 1, n + 1 FROM b),
+p AS (SELECT doc_id, low, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low, high), 1) AS start FROM edges),
+h AS (SELECT p.doc_id, p.start, hex(array_slice(b.bytes, p.start, p.low - 1)) AS piece FROM p JOIN b USING (doc_id) WHERE p.low > p.start),
+c AS (SELECT doc_id, start, piece, regexp_replace(regexp_replace(piece, '^(?:[89AB].)+', ''),
+             '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$', '\1') AS letters FROM h),
+k AS (SELECT doc_id, string_agg(piece, '' ORDER BY start) AS kept, string_agg(letters, '' ORDER BY start) AS letters FROM c GROUP BY doc_id),
+d AS (SELECT doc_id, sum(high - low) AS removed, count(*) AS spans FROM gone GROUP BY doc_id)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(d.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(d.spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256, decode(unhex(coalesce(k.letters, ''))) AS text
+FROM b LEFT JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

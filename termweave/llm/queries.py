@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from termweave.llm import line_runs, perspectives, signature_trees
+from termweave.llm import line_runs, perspectives, prefix_free, signature_trees
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,9 +50,7 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from termweave.llm.prefix_free import remove_repeats
-
-    return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+    return prefix_free.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +74,4 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_leaks, op2_kernel_langid, op3_signature_trees, op4_perspectives, op5_prefix_free, op6_packed_ids, op7_page_layout, op8_compression_bands, op9_piece_codec, op10_line_runs)}
-SQL: dict[str, str] = {"op3_signature_trees": signature_trees.SQL, "op4_perspectives": perspectives.SQL, "op10_line_runs": line_runs.SQL}
+SQL: dict[str, str] = {"op3_signature_trees": signature_trees.SQL, "op4_perspectives": perspectives.SQL, "op5_prefix_free": prefix_free.SQL, "op10_line_runs": line_runs.SQL}

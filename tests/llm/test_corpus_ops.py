@@ -274,6 +274,17 @@ def test_repeated_bytes_of_shared_ids(spark):
     assert {r.text for r in got} == {"", one, two, "é", three[:100]}
 
 
+def test_halves_of_characters_never_join(spark):
+    """The repeat runs from the second byte of one character to the first of another; what is left would be é and Ĩ."""
+    middle = prose(random.Random(21), 120)[:420]
+    got = prefix_free.remove_repeats(frame(spark, [(1, "aé" + middle + "éb"), (2, "cĩ" + middle + "èd")])).collect()
+    assert {(r.doc_id, r.n_removed, r.kept, r.text) for r in got} == {(1, 422, b"a\xc3\xa9b", "ab"), (2, 422, b"c\xc4\xa8d", "cd")}
+
+
+def test_repeated_bytes_same_as_sql(spark):
+    check(spark, lambda s, d: queries.QUERIES["op5_prefix_free"](s, d), prefix_free.SQL)
+
+
 def test_repeated_bytes_edges(spark):
     same = [(7, "z" * 450), (7, "z" * 450)]
     assert {(r.n_removed, r.n_spans) for r in prefix_free.remove_repeats(frame(spark, same)).collect()} == {(450, 1)}
