@@ -203,12 +203,6 @@ class ChunkEncoder:
         return ids, counts
 
 
-@functools.cache
-def worker_encoder(path: str) -> ChunkEncoder:
-    """One encoder for all tasks of a Python worker, so chunks stay known."""
-    return ChunkEncoder(path)
-
-
 @functools.cache
 def vocabulary_of(path: str) -> int:
     """Ids of a tokenizers file, added tokens included."""
@@ -232,9 +226,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int | None =
     dealt = data.repartitionByRange(shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     width = width_of(vocabulary or vocabulary_of(tokenizer))
     kind = "<u2" if width <= 16 else "<u4"
+    own = ("packed-ids", tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer)
+        encoder = shared.worker_keeps(own, lambda: ChunkEncoder(tokenizer))  # chunks stay known from task to task
         names: list[int | None] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
@@ -255,7 +250,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int | None =
                 x.clear()
             return out
 
-        for batch in shared.steps(batches, 1, 1 << 20):
+        for batch in shared.steps(batches, 1, 1 << 20, own):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, counts = encoder.encode(texts)
             if names and sum(lengths) + len(ids) > shard_ids:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -78,16 +80,40 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def release() -> None:
-    """Gives a Python worker's unused memory back: workers of earlier stages stay alive beside those of the next one."""
+#: What this Python worker keeps from task to task, by a name and its parameters.
+_kept: dict[tuple, Any] = {}
+
+
+def worker_keeps(key: tuple, make: Callable[[], Any]) -> Any:
+    """The object called ``key`` that all tasks of a Python worker share; it takes the place of any other one.
+
+    It lives until ``steps`` or ``release`` run for something else: workers are used again by later stages and jobs.
+    """
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release(kept: tuple | None = None) -> None:
+    """Gives a Python worker's unused memory back, with all that it keeps but ``kept``: workers of earlier stages stay
+    alive beside those of the next one."""
+    others = _kept.keys() - {kept}
+    for key in others:
+        del _kept[key]
+    if others:
+        gc.collect()  # a codec and its store name each other
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices whose texts (column number ``text``) hold at most ``limit`` bytes, one row at least."""
-    release()
+def steps(batches: Iterator[pa.RecordBatch], text: int, limit: int = STEP_BYTES, kept: tuple | None = None) -> Iterator[pa.RecordBatch]:
+    """Row slices whose texts (column number ``text``) hold at most ``limit`` bytes, one row at least.
+
+    Of what the worker keeps, only ``kept`` stays.
+    """
+    release(kept)
     for batch in batches:
         column = batch.column(text)
         if not batch.num_rows:
@@ -100,7 +126,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: int, limit: int = STEP_BYTES)
                 start, held = i, 0
             held += n
         yield batch.slice(start)
-    release()
+    release(kept)
 
 
 def table_partitions(spark: SparkSession) -> int:

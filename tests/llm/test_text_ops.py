@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle_check import SF, check
-from termweave.llm import chunk_store, compression_bands, kernel_langid, packed_ids, page_layout, perspectives, piece_codec, queries, wordhash
+from termweave.llm import chunk_store, compression_bands, kernel_langid, packed_ids, page_layout, perspectives, piece_codec, queries, shared, wordhash
 
 EDGE = [(0, None), (1, ""), (2, "one two three"), (3, "Ünï cödé " * 40), (4, "x" * 3000), (4, "x" * 3000), (5, " \t\n\r\x0b\x0c "), (6, "\x00     z"), (None, "no id"), (7, "a b\n" * 500)]
 
@@ -218,6 +218,16 @@ def test_token_files_against_whole_texts(spark, vocabulary):
     assert packed_ids.write_and_read(spark, frame(spark, [(1, "a")]).limit(0), path).count() == 0
 
 
+def test_workers_keep_only_what_the_stage_uses():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", None])], names=["text"])
+    once = shared.worker_keeps(("one",), object)
+    assert len(list(shared.steps(iter([batch]), 0, 10, ("one",)))) == 1 and shared.worker_keeps(("one",), object) is once
+    other = shared.worker_keeps(("two",), object)
+    assert list(shared._kept.values()) == [other]
+    list(shared.steps(iter([batch]), 0))
+    assert not shared._kept
+
+
 def test_chunk_store_beyond_its_limit():
     calls = []
     store = chunk_store.ChunkStore(lambda keys: (calls.append(list(keys)), (*chunk_store.flattened([[len(k), 7] for k in keys]), [k != "bad" for k in keys]))[1], limit=2)
