@@ -13,6 +13,11 @@ def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n values; grows by halves, so that it's seldom copied."""
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, len(x) + len(x) // 2) - len(x), x.dtype)])
+
+
 class ChunkStore:
     """Keys are words that stand after one blank, or a blank and a chunk to be taken literally.
 
@@ -34,30 +39,29 @@ class ChunkStore:
         """All ids one after the other, the number of ids of each text (a list of keys), and whether all its flags hold."""
         every = list(itertools.chain.from_iterable(cut))
         number = np.fromiter(map(self.known.get, every, itertools.repeat(-1)), np.int64, len(every))
-        flat, at, flags = self.flat, self.at, self.flags
         miss = np.flatnonzero(number < 0)
         if len(miss):
             fresh: dict[str, int] = {}
             base = len(self.known)
             number[miss] = [base + fresh.setdefault(every[i], len(fresh)) for i in miss.tolist()]
-            keys, parts = list(fresh), [flat]
-            sizes, same = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            keys, used = list(fresh), int(self.at[base])
+            self.at, self.flags = _grown(self.at, base + len(keys) + 1), _grown(self.flags, base + len(keys))
             for i in range(0, len(keys), self.STEP):  # the library's own results are large
                 ids, own, good = self.encode(keys[i : i + self.STEP])
-                sizes[i : i + len(own)], same[i : i + len(own)] = own, good
-                parts.append(ids)
-            flat = np.concatenate(parts)
-            at = np.concatenate([at, at[-1] + np.cumsum(sizes)])
-            flags = np.concatenate([flags, same])
-            if base < self.limit:
-                self.flat, self.at, self.flags = flat, at, flags
+                low, high = base + i, base + i + len(own)
+                self.at[low + 1 : high + 1], self.flags[low:high] = used + np.cumsum(own), good
+                self.flat = _grown(self.flat, used + len(ids))
+                self.flat[used : used + len(ids)] = ids
+                used += len(ids)
+            if base < self.limit:  # else the next ones take their place
                 for key, k in fresh.items():
                     self.known[key] = base + k
-        sizes = np.diff(at)[number]
+        start = self.at[number]
+        sizes = self.at[number + 1] - start
         ends = np.cumsum(sizes)
-        index = np.repeat(at[:-1][number] - (ends - sizes), sizes)
+        index = np.repeat(start - (ends - sizes), sizes)
         index += np.arange(len(index))
         bounds = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
         until = np.concatenate([[0], ends])
-        wrong = np.concatenate([[0], np.cumsum(~flags[number])])
-        return flat[index], np.diff(until[bounds]), np.diff(wrong[bounds]) == 0
+        wrong = np.concatenate([[0], np.cumsum(~self.flags[number])])
+        return self.flat[index], np.diff(until[bounds]), np.diff(wrong[bounds]) == 0

@@ -2,8 +2,8 @@
 
 The model file is a protocol buffer, read here by a small wire-format parser. From it come the normaliser (its
 precompiled character map, blank removal, the metaspace marker in front), the pieces with their scores, and byte
-fallback. BPE models become ranked merges, unigram models keep their scores. Every distinct chunk that a worker
-meets is also encoded by the sentencepiece library, so parity is verified as the corpus is encoded.
+fallback. BPE models become ranked merges, unigram models keep their scores. Every whole text is also encoded by the
+sentencepiece library, so parity is verified as the corpus is encoded.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm import shared
-from termweave.llm.chunk_store import ChunkStore, flattened
+from termweave.llm.chunk_store import ChunkStore
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # fixed values: piece types of the model format
@@ -178,32 +178,34 @@ class PieceCodec:
 
     def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         chunks = [k[1:] if k[0] == " " else MARK + k for k in keys]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        return *flattened(ids), self._agrees(chunks, ids)
+        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)  # a chunk is a word of one sequence
+        ids, counts = np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(chunks))
+        each = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if self.verify else []
+        return ids, counts, self._agrees(chunks, each)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after the other, how many each text has, and whether each text's chunks agree with the peer."""
         return self.store.lookup([self.keys(t) for t in texts])
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [self.tokenizer.decode(x, skip_special_tokens=False) for x in ids]  # a batch costs more CPU time
 
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_ok boolean, parity boolean"
 
 
-def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, full_check: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, full_check: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text, with the decoded text compared to the normalised one (in which a mark reads as a
     blank, as it does for every such model), in a narrow map.
 
-    ``parity``: every chunk of the text, encoded apart, has the sentencepiece library's ids; texts whose crc32
-    is divisible by ``full_check`` are also encoded whole by that library. A null or empty text has no ids and is
+    ``parity``: the ids are those that the sentencepiece library gives the whole text. Only if ``full_check`` is over 1, texts
+    whose crc32 is not divisible by it are compared chunk by chunk instead. A null or empty text has no ids and is
     decoded to the empty text. Repeated rows repeat; extra columns are ignored. Memory follows the longest text.
     """
-    own = ("piece-codec", model_path, threads)
+    own = ("piece-codec", model_path, threads, full_check > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.worker_keeps(own, lambda: PieceCodec(model_path, threads))
+        codec = shared.worker_keeps(own, lambda: PieceCodec(model_path, threads, full_check > 1))
         for batch in shared.steps(batches, 1, 1 << 20, own):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, counts, same = codec.encode(texts)
@@ -211,9 +213,9 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, full_ch
             each = [ids[e - n : e] for e, n in zip(ends, counts, strict=True)]
             lists = [x.tolist() for x in each]
             decoded = [a == codec.normalised(b).replace(MARK, " ") for a, b in zip(codec.decode(lists), texts, strict=True)]
-            for i, t in enumerate(texts):
-                if zlib.crc32(t.encode()) % full_check == 0:
-                    same[i] &= codec.peer.encode(t) == lists[i]
+            whole = [i for i, t in enumerate(texts) if full_check == 1 or zlib.crc32(t.encode()) % full_check == 0]
+            for i, theirs in zip(whole, codec.peer.encode_as_numpy([texts[i] for i in whole], num_threads=threads), strict=True):
+                same[i] &= np.array_equal(theirs, each[i])
             offsets = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())), pa.array(counts, pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64()), pa.array(decoded), pa.array(same)], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_ok", "parity"])
 
