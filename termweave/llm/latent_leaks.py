@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages (overlapping word windows of documents) and benchmark items are TF-IDF vectors over hashed words. A
-randomised SVD, computed in partial sums on the executors, gives a latent basis; passages whose latent cosine to an
+randomised SVD of all passages and items, computed in partial sums on the executors, gives a latent basis; passages whose latent cosine to an
 item reaches a threshold are candidates, and so are all passages that hold as many of an item's words as a leak
 needs, found exactly by the item's rarest words, however frequent those are. A candidate counts as a leak if the longest
 common subsequence of words covers most of the item, or a good part of it and the item's most telling words (the
-answer) as well. So no leak by that rule is lost to the threshold, the sample or the basis.
+answer) as well. So no leak by that rule is lost to the threshold or the basis.
 """
 
 from __future__ import annotations
@@ -23,16 +23,14 @@ from termweave.llm import shared, wordhash
 
 @dataclass(frozen=True)
 class Leaks:
-    """``half``: words of a half passage; passages are two halves and start at every half. ``sample_docs`` bounds
-    (on average) the different texts that the basis is fitted on, beside the first block of items; word statistics,
-    candidates and checks cover all. Items of under ``least_words`` words are looked for as whole word sequences, those
+    """``half``: words of a half passage; passages are two halves and start at every half. The basis is fitted on all
+    documents and items, added up in ``sketch_rows`` rows of each (twice ``rank`` and ``oversample``). Items of under ``least_words`` words are looked for as whole word sequences, those
     of under ``line_words`` as whole lines."""
 
     bits: int = 15
     half: int = 32
     rank: int = 256
     oversample: int = 16
-    sample_docs: int = 2000
     block_items: int = 1024
     cosine: float = 0.45
     verbatim: float = 0.7
@@ -43,6 +41,10 @@ class Leaks:
     scan_blocks: int = 8
     line_words: int = 4
 
+    @property
+    def sketch_rows(self) -> int:
+        return 2 * (self.rank + self.oversample)
+
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return wordhash.words_of(column, separators=wordhash.PUNCTUATION)
@@ -61,28 +63,67 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def document_frequencies(data: DataFrame, p: Leaks) -> tuple[np.ndarray, int]:
-    """In how many passages (of two halves, side by side) each bucket occurs, over all documents, and the passages."""
+#: Buckets of the frequencies that are added up together.
+CHUNK = 1024
+
+
+def _signs(hashes: np.ndarray, starts: np.ndarray, first: np.ndarray, names: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and sign of every passage, by its words, its text's id and its place, so however the table is partitioned."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place = wordhash.mix(names[text].view(np.uint64)) + (np.arange(len(starts)) - first[text]).astype(np.uint64)
+    key = wordhash.mix(np.add.reduceat(hashes, starts) + wordhash.mix(place))
+    return ((key >> np.uint64(8)) % np.uint64(rows)).astype(np.int64), 1 - 2 * (key & np.uint64(1)).astype(np.int32)
+
+
+def statistics(data: DataFrame, p: Leaks) -> tuple[np.ndarray, int, np.ndarray]:
+    """In how many passages (of two halves, side by side) each bucket occurs, the passages, and their sketch, over all texts.
+
+    The sketch S C (rows x buckets) adds every passage's word counts C to one of ``sketch_rows`` rows, with a sign of its
+    own; on average its Gram matrix is that of all passages. Whole numbers, so the order of the sums does not matter.
+    """
+    size, rows, index = 1 << p.bits, p.sketch_rows, np.dtype("<u2" if p.bits <= 16 else "<u4")
+    schema = "part long, at binary, n binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << p.bits) + 1, np.int64)
+        total, sketch, passages = np.zeros(size, np.int64), np.zeros((rows, size), np.int32), 0
         for batch in shared.steps(batches, 1):
             hashes, counts = _words(batch.column(1))
-            starts, _ = _halves(counts, 2 * p.half)
+            starts, first = _halves(counts, 2 * p.half)
             if len(starts):
                 number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
                 both = (number << p.bits) + _bucket(hashes, p.bits)
-                both = np.unique(both.astype(np.int32) if len(starts) < 1 << (31 - p.bits) else both)
-                total[:-1] += np.bincount(both & ((1 << p.bits) - 1), minlength=1 << p.bits)
-                total[-1] += len(starts)
+                both, times = np.unique(both.astype(np.int32) if len(starts) < 1 << (31 - p.bits) else both, return_counts=True)
+                bucket, number = both & (size - 1), both >> p.bits
+                total += np.bincount(bucket, minlength=size)
+                row, sign = _signs(hashes, starts, first, batch.column(0).fill_null(0).to_numpy(), rows)
+                np.add.at(sketch.reshape(-1), (row[number] << p.bits) + bucket, sign[number] * times.astype(np.int32))
+                passages += len(starts)
+        if not passages:
+            return
+        parts = [(-1, [0], [passages])]
+        parts += [(-2 - c // CHUNK, at, total[c + at]) for c in range(0, size, CHUNK) if len(at := np.flatnonzero(total[c : c + CHUNK]))]
+        parts += [(r, at, sketch[r, at]) for r in range(rows) if len(at := np.flatnonzero(sketch[r]))]
+        for k in range(0, len(parts), 64):
+            some = [(r, np.asarray(at, index).tobytes(), np.asarray(n, "<i4").tobytes()) for r, at, n in parts[k : k + 64]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), [pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["part", "at", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
+            total[np.frombuffer(at, index)] += np.frombuffer(n, "<i4")
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+        return pa.table({"part": table.column("part")[:1], "at": pa.array([at.astype(index).tobytes()]), "n": pa.array([total[at].tobytes()])})
 
-    rows = data.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most 2^bits + 1 rows
-    out = np.zeros((1 << p.bits) + 1, np.int64)
-    for r in rows:
-        out[r["bucket"]] = r["n"]
-    return out[:-1], int(out[-1])
+    df, n, sketch = np.zeros(size, np.int64), 0, np.zeros((rows, size), np.float32)
+    for r in data.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).toLocalIterator():
+        at, values = np.frombuffer(r["at"], index).astype(np.int64), np.frombuffer(r["n"], np.int64)
+        if r["part"] == -1:
+            n = int(values[0])
+        elif r["part"] < 0:
+            df[at + (-2 - r["part"]) * CHUNK] = values
+        else:
+            sketch[r["part"], at] = values
+    return df, n, sketch
 
 
 def weights(df: np.ndarray, n: int) -> np.ndarray:
@@ -130,104 +171,25 @@ def _passages(halves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[keep], keep
 
 
-def sample_of(data: DataFrame, p: Leaks, scratch: shared.Scratch) -> DataFrame:
-    """About ``sample_docs`` different texts, written; a text of very many copies is one of them."""
-    share = min(1.0, p.sample_docs / max(1, data.count()))
-    name = F.xxhash64("text", F.lit(7))
-    some = data.where(F.pmod(name, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).groupBy(name.alias("name")).agg(F.first("text").alias("text"))
-    return scratch.keep(some.select(F.col("name").alias("doc_id"), "text"), "sample")
-
-
-def orthonormal(y: np.ndarray, rows: int = 4096) -> np.ndarray:
-    """An orthonormal basis of y's columns, in place, from their Gram matrix summed in double precision, twice over for
-    exactness; directions that are none (or lost in rounding) become zeros."""
-    for _ in range(2):
-        gram = np.zeros((y.shape[1], y.shape[1]))
-        for k in range(0, len(y), rows):
-            part = y[k : k + rows].astype(np.float64)
-            gram += part.T @ part
-        values, vectors = np.linalg.eigh(gram)
-        turn = np.where(values > 1e-9 * max(values.max(), 1e-30), vectors / np.sqrt(np.maximum(values, 1e-30)), 0)
-        for k in range(0, len(y), rows):
-            y[k : k + rows] = y[k : k + rows].astype(np.float64) @ turn
-    return y
+def fit_basis(docs: np.ndarray, items: np.ndarray, idf: np.ndarray, p: Leaks) -> np.ndarray:
+    """Right singular vectors (buckets x rank) of all passages and items, of their sketches (see ``statistics``).
 
-
-def fit_basis(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, p: Leaks) -> np.ndarray:
-    """Right singular vectors (buckets x rank) of the passages of a sample of documents and the items' own vectors.
-
-    Two passes in partial sums: Y = A'(A W) for a random W, then the Gram matrix of A Q with Q an orthonormal basis
-    of Y. Items weigh as much as the sample, so that the latent space tells them apart.
+    Items weigh as much as the documents, so that the latent space tells them apart. Directions that are none become zeros.
     """
-    size, k = 1 << p.bits, p.rank + p.oversample
-    cells = [np.unique(_bucket(words, p.bits), return_counts=True) for words in items]
-    into = lambda t: np.stack([(t[b] * (idf[b] * n)[:, None]).sum(0) for b, n in cells])  # noqa: E731  items x columns
-    sample = sample.coalesce(8)  # partial sums are as large as the basis
-    chunk = 256
-    test = np.random.default_rng(5).standard_normal((size, k), np.float32)
-    spark = sample.sparkSession
-
-    def rows_of(batch: pa.RecordBatch, table: np.ndarray):
-        hashes, counts = _words(batch.column(1))
-        starts, _ = _halves(counts, 2 * p.half)
-        return hashes, starts, _sums(hashes, starts, idf > 0, table, p.bits)
-
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = held.value, np.zeros((size, k), np.float32)
-        for batch in shared.steps(batches, 1, 1 << 18):
-            hashes, starts, y = rows_of(batch, table)
-            if len(starts):
-                bucket = _bucket(hashes, p.bits)
-                owner = np.searchsorted(starts, np.arange(len(hashes)), "right") - 1
-                order = np.argsort(bucket, kind="stable")
-                found, at = np.unique(bucket[order], return_index=True)
-                for low in range(0, len(found), 2048):  # bounded gathers
-                    a, b = at[low], at[low + 2048] if low + 2048 < len(found) else len(order)
-                    part = found[low : low + 2048]
-                    total[part] += np.add.reduceat(y[owner[order[a:b]]], at[low : low + 2048] - a, axis=0) * idf[part, None]
-        scale = np.array([float(np.square(total).sum())])
-        if scale[0]:
-            for c in range(0, size, chunk):
-                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([total[c : c + chunk].tobytes()])], names=["c", "m"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("m").to_pylist())
-        return pa.table({"c": table.column("c")[:1], "m": pa.array([total.astype(np.float32).tobytes()])})
-
-    mine = np.zeros((size, k), np.float32)
-    for (b, n), row in zip(cells, into(test), strict=True):
-        mine[b] += (idf[b] * n)[:, None] * row
-    test *= idf[:, None]
-    held = spark.sparkContext.broadcast(_with_zeros(test))
-    del test  # these are the driver's largest arrays
-    y = np.zeros((size, k), np.float32)
-    for r in sample.mapInArrow(first_pass, "c long, m binary").groupBy("c").applyInArrow(add, "c long, m binary").toLocalIterator():
-        y[r["c"] : r["c"] + chunk] = np.frombuffer(r["m"], np.float32).reshape(-1, k)
-    held.destroy()
-    balance = float(np.linalg.norm(y) / max(np.linalg.norm(mine), 1e-9)) if y.any() else 1.0
-    mine *= balance
-    y += mine
-    del mine
-    q = orthonormal(y)
-    del y
-    shared.release()
-
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, gram = held_q.value, np.zeros((k, k), np.float64)
-        for batch in shared.steps(batches, 1, 1 << 19):
-            _, _, b = rows_of(batch, table)
-            gram += b.T.astype(np.float64) @ b
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([gram.astype(np.float32).tobytes()])], names=["c", "m"])
-
-    held_q = spark.sparkContext.broadcast(_with_zeros(q * idf[:, None]))
-    shared.release()
-    gram = sum((np.frombuffer(r["m"], np.float32).reshape(k, k).astype(np.float64) for r in sample.mapInArrow(second_pass, "c long, m binary").toLocalIterator()), np.zeros((k, k)))
-    held_q.destroy()
-    b = into(q)
-    gram += balance * (b.T @ b)
-    _, vectors = np.linalg.eigh(gram)
-    out = np.ascontiguousarray(q @ vectors[:, ::-1][:, : p.rank].astype(np.float32), dtype=np.float32)
-    del q
+    both = np.concatenate([docs, items])
+    both *= idf
+    gram = np.zeros((len(both), len(both)))
+    for k in range(0, both.shape[1], 4096):
+        part = both[:, k : k + 4096]
+        gram += part @ part.T
+    size, own = (float(np.linalg.norm(g)) for g in (gram[: len(docs), : len(docs)], gram[len(docs) :, len(docs) :]))
+    weight = np.ones(len(both))
+    weight[len(docs) :] = np.sqrt(size / own) if size and own else 1.0
+    values, vectors = np.linalg.eigh(gram * np.outer(weight, weight))
+    values, vectors = values[::-1][: p.rank], vectors[:, ::-1][:, : p.rank]
+    turn = np.where(values > 1e-6 * max(values.max(), 1e-30), vectors / np.sqrt(np.maximum(values, 1e-30)), 0) * weight[:, None]
+    out = both.T @ turn.astype(np.float32)
+    del both, part
     shared.release()
     return out
 
@@ -342,14 +304,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Leaks = Leaks(), id_col
     One row for each document and item found in it, the best passage's values; repeated rows of a document repeat.
     Null or empty texts hold nothing. Items of under ``least_words`` words leak where their whole word sequence stands
     in a text (kind ``short``; of under ``line_words`` words: where it is all of a line's words). An item without words is
-    in no text. One basis serves all items. They go out in blocks of ``block_items``, ``scan_blocks`` of them for each
+    in no text. One basis, fitted on all documents and items, serves all items. They go out in blocks of ``block_items``, ``scan_blocks`` of them for each
     scan of the corpus, so what is sent to the executors is bounded whatever the benchmark's size; documents are scored
     in a narrow map, without any shuffle of texts. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    scratch = shared.Scratch(spark, "latent-leaks")
     data = shared.texts(docs, id_col, text_col).where("text is not null")
-    df, n = document_frequencies(data, p)
+    df, n, sketch = statistics(data, p)
     idf = weights(df, n)
     out: DataFrame | None = None
     source = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
@@ -363,10 +324,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Leaks = Leaks(), id_col
         return data.mapInArrow(lambda it: _scan(it, held.value, p), FOUND)
 
     def close() -> None:
-        nonlocal basis
+        nonlocal basis, sketch
         if basis is None:
-            basis = fit_basis(sample_of(data, p, scratch), [w for _, w in long], idf, p)
-            scratch.drop("sample")
+            basis = fit_basis(sketch, statistics(shared.texts(source, "item_id"), p)[2], idf, p)
+            sketch = None  # the driver's largest array
             basis *= idf[:, None]
             basis = _with_zeros(basis)
         ready.append(Block.of(long, basis, idf, p))

@@ -339,6 +339,28 @@ def test_leaks(spark):
     assert latent_leaks.find_leaks(frame(spark, rows).limit(0), benchmark, small).count() == 0
 
 
+def test_basis_of_all_documents(spark):
+    """More texts than a sample once held: every passage is in the frequencies and the sketch, and the basis tells them all."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(0, 150))) for i in range(2400)] + [(None, "a null id"), (5000, None)]
+    p = latent_leaks.Leaks(bits=12, rank=48, oversample=8)
+    data = frame(spark, rows).select("doc_id", "text").where("text is not null")
+    df, n, sketch = latent_leaks.statistics(data, p)
+    parts = [latent_leaks.statistics(data.where(w).repartition(7), p) for w in ("doc_id % 2 = 0", "doc_id % 2 = 1 or doc_id is null")]
+    assert (sum(x[0] for x in parts) == df).all() and parts[0][1] + parts[1][1] == n and (parts[0][2] + parts[1][2] == sketch).all()
+    passages = []
+    for _, t in rows:
+        h = (latent_leaks._words(pa.array([t]))[0] >> np.uint64(64 - p.bits)).astype(np.int64)
+        passages += [np.bincount(h[k : k + 64], minlength=1 << p.bits) for k in range(0, len(h), 64)]
+    whole = np.array(passages)
+    assert n == len(whole) and (df == (whole > 0).sum(0)).all() and (np.abs(sketch).sum(0) <= whole.sum(0)).all() and ((np.abs(sketch).sum(0) - whole.sum(0)) % 2 == 0).all()
+    idf = latent_leaks.weights(df, n)
+    basis = latent_leaks.fit_basis(sketch, np.zeros_like(sketch), idf, p)
+    assert np.allclose(basis.T @ basis, np.eye(p.rank), atol=1e-3)
+    best = np.linalg.eigvalsh((whole * idf).T @ (whole * idf))[-p.rank :].sum()
+    assert np.square(whole * idf @ basis).sum() > 0.5 * best  # nearly flat spectrum
+
+
 def test_short_items(spark):
     """Four to seven words anywhere in a text, fewer as a whole line; punctuation and case do not count."""
     benchmark = spark.createDataFrame([(1, "who was the first king"), (2, "Yes."), (3, "two words"), (4, "?"), (None, "a null id of five words")], "item_id long, text string")
