@@ -24,7 +24,8 @@ from termweave.llm import shared, wordhash
 @dataclass(frozen=True)
 class Leaks:
     """``half``: words of a half passage; passages are two halves and start at every half. The basis is fitted on all
-    documents and items, added up in ``sketch_rows`` rows of each (twice ``rank`` and ``oversample``). Items of under ``least_words`` words are looked for as whole word sequences, those
+    documents and items, added up in ``sketch_rows`` rows of each (twice ``rank`` and ``oversample``); the items' Gram matrix
+    weighs ``item_weight`` times the documents'. Items of under ``least_words`` words are looked for as whole word sequences, those
     of under ``line_words`` as whole lines."""
 
     bits: int = 15
@@ -40,6 +41,7 @@ class Leaks:
     least_words: int = 8
     scan_blocks: int = 8
     line_words: int = 4
+    item_weight: float = 16.0
 
     @property
     def sketch_rows(self) -> int:
@@ -174,7 +176,7 @@ def _passages(halves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 def fit_basis(docs: np.ndarray, items: np.ndarray, idf: np.ndarray, p: Leaks) -> np.ndarray:
     """Right singular vectors (buckets x rank) of all passages and items, of their sketches (see ``statistics``).
 
-    Items weigh as much as the documents, so that the latent space tells them apart. Directions that are none become zeros.
+    Items weigh ``item_weight`` times as much as the documents, so that the latent space tells them apart. Directions that are none become zeros.
     """
     both = np.concatenate([docs, items])
     both *= idf
@@ -184,7 +186,7 @@ def fit_basis(docs: np.ndarray, items: np.ndarray, idf: np.ndarray, p: Leaks) ->
         gram += part @ part.T
     size, own = (float(np.linalg.norm(g)) for g in (gram[: len(docs), : len(docs)], gram[len(docs) :, len(docs) :]))
     weight = np.ones(len(both))
-    weight[len(docs) :] = np.sqrt(size / own) if size and own else 1.0
+    weight[len(docs) :] = np.sqrt(p.item_weight * size / own) if size and own else 1.0
     values, vectors = np.linalg.eigh(gram * np.outer(weight, weight))
     values, vectors = values[::-1][: p.rank], vectors[:, ::-1][:, : p.rank]
     turn = np.where(values > 1e-6 * max(values.max(), 1e-30), vectors / np.sqrt(np.maximum(values, 1e-30)), 0) * weight[:, None]
