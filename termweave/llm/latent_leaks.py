@@ -178,20 +178,22 @@ def fit_basis(docs: np.ndarray, items: np.ndarray, idf: np.ndarray, p: Leaks) ->
 
     Items weigh ``item_weight`` times as much as the documents, so that the latent space tells them apart. Directions that are none become zeros.
     """
-    both = np.concatenate([docs, items])
-    both *= idf
-    gram = np.zeros((len(both), len(both)))
-    for k in range(0, both.shape[1], 4096):
-        part = both[:, k : k + 4096]
+    rows, cols = len(docs) + len(items), docs.shape[1]
+    both = lambda k: np.concatenate([docs[:, k : k + 4096], items[:, k : k + 4096]]) * idf[k : k + 4096]
+    gram = np.zeros((rows, rows))
+    for k in range(0, cols, 4096):
+        part = both(k)
         gram += part @ part.T
     size, own = (float(np.linalg.norm(g)) for g in (gram[: len(docs), : len(docs)], gram[len(docs) :, len(docs) :]))
-    weight = np.ones(len(both))
+    weight = np.ones(rows)
     weight[len(docs) :] = np.sqrt(p.item_weight * size / own) if size and own else 1.0
     values, vectors = np.linalg.eigh(gram * np.outer(weight, weight))
     values, vectors = values[::-1][: p.rank], vectors[:, ::-1][:, : p.rank]
     turn = np.where(values > 1e-6 * max(values.max(), 1e-30), vectors / np.sqrt(np.maximum(values, 1e-30)), 0) * weight[:, None]
-    out = both.T @ turn.astype(np.float32)
-    del both, part
+    out, turn = np.empty((cols, p.rank), np.float32), turn.astype(np.float32)
+    for k in range(0, cols, 4096):
+        out[k : k + 4096] = both(k).T @ turn
+    del part
     shared.release()
     return out
 

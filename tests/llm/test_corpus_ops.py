@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -440,6 +441,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in whole.collect()} == left[-1]
 
 
+def test_decontamination_writes_no_sample(spark, tmp_path):
+    """The stage's basis is of all its documents (test_basis_of_all_documents): no texts are drawn and kept for it."""
+    from urllib.parse import urlparse
+
+    rng = random.Random(24)
+    item = prose(rng, 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, prose(rng, 40)) for i in range(30)] + [(30, prose(rng, 20) + " " + item)]
+    own = lambda: {f for f in os.listdir(urlparse(shared.shared_dir(spark)).path) if f.startswith("latent-leaks")}
+    before = own()
+    left = corpus_pipeline.decontamination(spark, frame(spark, rows), str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == set(range(30)) and own() == before
+
+
 def test_pipeline_edges(spark, tmp_path):
     """Empty tables, an empty benchmark, null and shared ids, repeated rows and columns with clashing names."""
     rng = random.Random(14)
