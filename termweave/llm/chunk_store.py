@@ -13,6 +13,16 @@ def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
+def merged(which: np.ndarray, these: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes in the order of the keys, from those of the keys that are ``which`` and of the others."""
+    sizes = np.zeros(len(which), np.int64)
+    sizes[which], sizes[~which] = these[1], others[1]
+    ids = np.zeros(int(sizes.sum()), np.int32)
+    of = np.repeat(which, sizes)
+    ids[of], ids[~of] = these[0], others[0]
+    return ids, sizes
+
+
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
     """x with room for n values; grows by halves, so that it's seldom copied."""
     return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, len(x) + len(x) // 2) - len(x), x.dtype)])

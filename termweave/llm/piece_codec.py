@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm import shared
-from termweave.llm.chunk_store import ChunkStore
+from termweave.llm.chunk_store import ChunkStore, flattened, merged
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # fixed values: piece types of the model format
@@ -108,9 +108,15 @@ def merges_of(model: PieceModel) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+def _user_tokens(model: PieceModel) -> list:
+    from tokenizers import AddedToken
+
+    return [AddedToken(p, normalized=False, special=False) for p, _, kind in model.pieces if kind == USER]
+
+
 def backend(model: PieceModel):
     """A tokenizers.Tokenizer for already marked text (see PieceCodec.keys)."""
-    from tokenizers import AddedToken, Tokenizer, decoders, models
+    from tokenizers import Tokenizer, decoders, models
 
     names = [p for p, _, _ in model.pieces]
     if model.kind == BPE:
@@ -118,7 +124,7 @@ def backend(model: PieceModel):
     else:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.byte_fallback)
     out = Tokenizer(core)
-    out.add_tokens([AddedToken(p, normalized=False, special=False) for p, _, kind in model.pieces if kind == USER])
+    out.add_tokens(_user_tokens(model))
     steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     out.decoder = decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if model.dummy_prefix else steps)
     return out
@@ -131,7 +137,7 @@ class PieceCodec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         import sentencepiece
-        from tokenizers import normalizers
+        from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
         with open(path, "rb") as f:
             self.model = parse(f.read())
@@ -141,6 +147,14 @@ class PieceCodec:
         self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         # a marker that only starts pieces lets every word be encoded alone
         self.chunked = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in self.model.pieces)
+        names = [p for p, _, _ in self.model.pieces]
+        # a line's end that is a byte of its own and in no piece lets every line be encoded alone, too
+        self.lines = self.chunked and not verify and self.model.kind == BPE and self.model.byte_fallback and "<0x0A>" in names and not any("\n" in p for p in names)
+        self.words = Tokenizer(self.tokenizer.model)  # the same, for words one after the other
+        self.words.add_tokens(_user_tokens(self.model))
+        self.words.pre_tokenizer = pre_tokenizers.Split(Regex(f"[{MARK}\n]") if self.lines else MARK, "merged_with_next")
+        self.first = np.array([p.startswith(MARK) or self.lines and p == "<0x0A>" for p in names], bool)
+        self.spelt = {i: bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) else p.replace(MARK, " ").encode() for i, p in enumerate(names)}
         self.store = ChunkStore(self._learn)
 
     def normalised(self, text: str) -> str:
@@ -152,14 +166,12 @@ class PieceCodec:
 
     def keys(self, text: str) -> list[str]:
         """Keys of a text for the store. Pieces never join a mark to what stands before it, so each word with its
-        marks is encoded alone."""
+        marks is encoded alone; a key that begins with a line's end has no mark."""
         text = self.normalised(text)
         if not text:
             return []
-        if self.chunked and self.model.dummy_prefix and MARK not in text and not text.startswith(" "):
-            words = text.split(" ")
-            if "" not in words:
-                return words
+        if self.chunked and self.model.dummy_prefix and MARK not in text and text[0] != " " and text[-1] != " " and "  " not in text:
+            return (text.replace("\n", " \n") if self.lines else text).split(" ")
         text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
         return [" " + c for c in (re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", text) if self.chunked else [text])]
 
@@ -177,18 +189,40 @@ class PieceCodec:
         return [self.peer.encode(c) == mine or not self.chunked for c, mine in zip(chunks, ids, strict=True)]
 
     def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
-        chunks = [k[1:] if k[0] == " " else MARK + k for k in keys]
-        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)  # a chunk is a word of one sequence
-        ids, counts = np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(chunks))
+        literal = np.array([k[:1] == " " for k in keys])
+        ids, counts = self._apart([k[1:] for k in keys if k[:1] == " "])
+        if not literal.all():
+            ids, counts = merged(literal, (ids, counts), self._in_lines([k if self.lines and k[:1] == "\n" else MARK + k for k in keys if k[:1] != " "]))
         each = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if self.verify else []
-        return ids, counts, self._agrees(chunks, each)
+        return ids, counts, self._agrees([k[1:] if k[:1] == " " else MARK + k for k in keys], each) if self.verify else [True] * len(keys)
+
+    def _in_lines(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks whose one mark (or line's end) comes first, many in one text: only a chunk's first piece has it."""
+        lines = ["".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)]
+        ids, _ = flattened([x.ids for x in self.words.encode_batch_fast(lines, add_special_tokens=False)])
+        first = np.flatnonzero(self.first[ids])
+        if len(first) != len(chunks):  # a mark that is no piece
+            return self._apart(chunks)
+        return ids, np.diff(np.append(first, len(ids)))
+
+    def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)  # a chunk is a word of one sequence
+        return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(chunks))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after the other, how many each text has, and whether each text's chunks agree with the peer."""
         return self.store.lookup([self.keys(t) for t in texts])
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return [self.tokenizer.decode(x, skip_special_tokens=False) for x in ids]  # a batch costs more CPU time
+        return [self._text(x) for x in ids]
+
+    def _text(self, ids: list[int]) -> str:
+        """The pieces' own bytes in a row, which is what the library's decoder makes of them."""
+        try:
+            text = b"".join(map(self.spelt.__getitem__, ids)).decode()
+        except (KeyError, UnicodeDecodeError):  # the library has a sign for bytes that are no text, and none for unknown ids
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_ok boolean, parity boolean"

@@ -304,6 +304,24 @@ def test_parity_is_of_every_whole_text(spark, tmp_path):
     assert {r.parity for r in got.values()} == {True, False}
 
 
+def test_lines_are_encoded_alone_and_pieces_joined(monkeypatch):
+    """Line ends at all places give the peer's ids, and no key goes over one; the library decodes only bytes that are no text."""
+    import public_tokenizers
+
+    codec = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"), verify=False)
+    rng = random.Random(6)
+    texts = ["one\ntwo one", "\n", "\n\n a", "a \n b", "a\n", " \na", "\r\nc", "x▁\ny", "é\n日"] + ["".join(rng.choice(["a", "the", "\n", " ", "é", "日", "\t", "▁", "."]) for _ in range(rng.randint(1, 20))) for _ in range(400)]
+    ids, counts, _ = codec.encode(texts)
+    mine = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert mine == codec.peer.encode(texts)
+    assert codec.keys("one\ntwo one") == ["one", "\ntwo", "one"]
+    some = [[rng.choice([rng.randrange(len(codec.model.pieces)), *mine[8]]) for _ in range(rng.randint(0, 12))] for _ in range(400)]
+    some += [[], [10**6], [ids[0], 10**6, ids[0]]]
+    assert codec.decode(some) == [codec.tokenizer.decode(x, skip_special_tokens=False) for x in some]
+    monkeypatch.setattr(codec, "tokenizer", None)
+    assert codec.decode(mine) == [codec.normalised(t).replace("▁", " ") for t in texts]
+
+
 def test_perspectives_same_as_sql(spark):
     check(spark, queries.QUERIES["op4_perspectives"], perspectives.SQL)
 
