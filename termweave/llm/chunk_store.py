@@ -13,16 +13,25 @@ def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
-def merged(which: np.ndarray, these: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and sizes in the order of the keys, from those of the keys that are ``which`` and of the others."""
-    sizes = np.zeros(len(which), np.int64)
-    sizes[which], sizes[~which] = these[1], others[1]
+def merged(kind: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes in the order of the keys; ``kind`` has each key's place in ``parts``, which hold theirs."""
+    sizes = np.zeros(len(kind), np.int64)
+    for k, (_, own) in enumerate(parts):
+        sizes[kind == k] = own
     ids = np.zeros(int(sizes.sum()), np.int32)
-    of = np.repeat(which, sizes)
-    ids[of], ids[~of] = these[0], others[0]
+    of = np.repeat(kind, sizes)
+    for k, (some, _) in enumerate(parts):
+        ids[of == k] = some
     return ids, sizes
 
 
+def ranges(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of ``sizes`` numbers from ``start``, one range after the other."""
+    index = np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
+    index += np.arange(len(index))
+    return index
+
+
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
     """x with room for n values; grows by halves, so that it's seldom copied."""
     return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, len(x) + len(x) // 2) - len(x), x.dtype)])
@@ -68,10 +77,7 @@ class ChunkStore:
                     self.known[key] = base + k
         start = self.at[number]
         sizes = self.at[number + 1] - start
-        ends = np.cumsum(sizes)
-        index = np.repeat(start - (ends - sizes), sizes)
-        index += np.arange(len(index))
         bounds = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
-        until = np.concatenate([[0], ends])
+        until = np.concatenate([[0], np.cumsum(sizes)])
         wrong = np.concatenate([[0], np.cumsum(~self.flags[number])])
-        return self.flat[index], np.diff(until[bounds]), np.diff(wrong[bounds]) == 0
+        return self.flat[ranges(start, sizes)], np.diff(until[bounds]), np.diff(wrong[bounds]) == 0

@@ -13,6 +13,7 @@ import functools
 import io
 import itertools
 import json
+import os
 import re
 import struct
 import uuid
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm import shared
-from termweave.llm.chunk_store import ChunkStore, flattened
+from termweave.llm.chunk_store import ChunkStore, flattened, merged, ranges
 
 MAGIC = b"TWPACK01"
 NULL_ID = -(1 << 63)
@@ -118,14 +119,13 @@ _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _WHITE_ASCII = [c for c in _WHITE if c.isascii()]
 
 
-def _loose(text: str) -> bool:
-    """Whether some blank has other white space, or the text's end, beside it."""
-    if text[0] == " " or text[-1] == " " or "  " in text:
-        return True
-    for c in _WHITE_ASCII if text.isascii() else _WHITE:
-        if c in text and (c + " " in text or " " + c in text):  # a single character is found much faster
-            return True
-    return False
+def _loose(text: str, white: list[str]) -> bool:
+    """Whether some blank has other white space (``white`` is all there is), or the text's end, beside it."""
+    return text[0] == " " or text[-1] == " " or "  " in text or any(c + " " in text or " " + c in text for c in white)
+
+
+#: A word (after a blank or a line's end) of letters of Latin script, and a few signs after it of which none is an apostrophe.
+_TAILED = re.compile("(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\\[-`{-~]{1,3})")
 
 
 class ChunkEncoder:
@@ -134,9 +134,12 @@ class ChunkEncoder:
     Cutting is safe where a single blank stands between two characters that are not white space, as byte-level
     pre-tokenizers always cut there; a text with other blanks is cut at its safe places only. Added tokens of the file
     (such as the end of a text) in a text are cut out first and keep their own ids, as the library has it.
+    Where the file has the library's own byte-level pattern, a line's end between two such characters is a place to cut
+    too, as is that between a letter and a sign (used for new words, whose letters are often known).
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads cost more CPU time than they save
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -147,27 +150,46 @@ class ChunkEncoder:
         self.added = re.compile("(" + "|".join(map(re.escape, self.marks)) + ")")
         size = self.tokenizer.get_vocab_size()
         self.blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # the mark of byte 0x20
+        cutter, self.line = self.tokenizer.pre_tokenizer, self.tokenizer.token_to_id("\u010a")  # the mark of byte 0x0A
+        self.lines = self.line is not None and type(cutter).__name__ == "ByteLevel" and cutter.use_regex and not cutter.add_prefix_space and self.tokenizer.normalizer is None
+        self.tails: dict[str, list[int]] = {}
         self.store = ChunkStore(self._encode, 1_000_000)
 
     def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
-        """Words are encoded many at once, as a text of their own: only a word's first token holds its blank."""
-        words = [k for k in keys if k[0] != " "]
-        lines = [" " + " ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        ids, _ = flattened([x.ids for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-        first = np.flatnonzero(self.blank[ids])
+        kinds = np.array([2 if k[0] == " " else 1 if k[0] == "\n" else 0 for k in keys], np.int8)
+        joined = self._joined(keys, kinds) if self.lines else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        some = [[keys[i] for i in np.flatnonzero(kinds == kind).tolist()] for kind in range(3)]
+        ids, sizes = merged(kinds, [self._in_lines(some[0], " "), self._in_lines(some[1], ""), self._ids([k[1:] for k in some[2]]), joined])
+        return ids, sizes, [True] * len(keys)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _in_lines(self, words: list[str], blank: str) -> tuple[np.ndarray, np.ndarray]:
+        """Words are encoded many at once, as a text of their own: only a word's first token holds its blank (or is its
+        line's end, which these words begin with)."""
+        ids, _ = self._ids([blank + blank.join(words[i : i + 256]) for i in range(0, len(words), 256)])
+        first = np.flatnonzero(self.blank[ids] if blank else ids == self.line)
         if len(first) != len(words):
             raise AssertionError("a word without a token of its own blank")
-        sizes = np.diff(np.append(first, len(ids)))
-        if len(words) == len(keys):
-            return ids, sizes, [True] * len(keys)
-        other, some = flattened([x.ids for x in self.tokenizer.encode_batch_fast([k[1:] for k in keys if k[0] == " "], add_special_tokens=False)])
-        literal = np.array([k[0] == " " for k in keys])
-        every = np.zeros(len(keys), np.int64)
-        every[literal], every[~literal] = some, sizes
-        out = np.zeros(int(every.sum()), np.int32)
-        which = np.repeat(literal, every)
-        out[which], out[~which] = other, ids
-        return out, every, [True] * len(keys)
+        return ids, np.diff(np.append(first, len(ids)))
+
+    def _joined(self, keys: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with signs after them, from those of the word if it is known; these keys' kind becomes 3."""
+        which, words, tails = [], [], []
+        for i, found in enumerate(map(_TAILED.fullmatch, keys)):
+            if found and (known := self.store.known.get(found[1])) is not None:
+                which.append(i)
+                words.append(known)
+                tails.append(found[2])
+        kinds[which] = 3
+        if new := list(dict.fromkeys(t for t in tails if t not in self.tails)):
+            self.tails.update((t, x.ids) for t, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        at = np.array(words, np.int64)
+        start = self.store.at[at]
+        own = self.store.at[at + 1] - start
+        ids, sizes = merged(np.tile(np.array([0, 1], np.int8), len(which)), [(self.store.flat[ranges(start, own)], own), flattened([self.tails[t] for t in tails])])
+        return ids, sizes.reshape(-1, 2).sum(1)
 
     def keys(self, text: str) -> list[str]:
         if not self.chunked:
@@ -180,14 +202,17 @@ class ChunkEncoder:
         parts = self.added.split(text)  # every second one is an added token
         return [k for i, part in enumerate(parts) for k in ([" " + part] if i % 2 else self.plain(part))]
 
-    @staticmethod
-    def plain(text: str) -> list[str]:
+    def plain(self, text: str) -> list[str]:
         if not text:
             return []
-        words = text.split(" ")
-        if not _loose(text):
+        white = [c for c in (_WHITE_ASCII if text.isascii() else _WHITE) if c in text]  # a single character is found much faster
+        if not _loose(text, white):
+            if self.lines and white == ["\n"] and text[0] != "\n" and text[-1] != "\n" and "\n\n" not in text:
+                text = text.replace("\n", " \n")
+            words = text.split(" ")
             words[0] = " " + words[0]
             return words
+        words = text.split(" ")
         out = [words[0]]
         for w in words[1:]:
             last = out[-1]

@@ -192,7 +192,8 @@ class PieceCodec:
         literal = np.array([k[:1] == " " for k in keys])
         ids, counts = self._apart([k[1:] for k in keys if k[:1] == " "])
         if not literal.all():
-            ids, counts = merged(literal, (ids, counts), self._in_lines([k if self.lines and k[:1] == "\n" else MARK + k for k in keys if k[:1] != " "]))
+            words = self._in_lines([k if self.lines and k[:1] == "\n" else MARK + k for k in keys if k[:1] != " "])
+            ids, counts = merged(literal, [words, (ids, counts)])
         each = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if self.verify else []
         return ids, counts, self._agrees([k[1:] if k[:1] == " " else MARK + k for k in keys], each) if self.verify else [True] * len(keys)
 

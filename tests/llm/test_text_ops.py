@@ -218,6 +218,39 @@ def test_token_files_against_whole_texts(spark, vocabulary):
     assert packed_ids.write_and_read(spark, frame(spark, [(1, "a")]).limit(0), path).count() == 0
 
 
+def test_chunks_end_at_lines_and_signs():
+    """The library's ids of whole texts; lines share their words, and of known words with new signs only the signs are encoded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encoder = Tokenizer.from_file(path), packed_ids.ChunkEncoder(path)
+    rng = random.Random(8)
+    bits = ["word", "The", "été", "ǅ", "e\u0301", "日本", " ", " ", "\n", "\n", "\t", "\u2028", "'", "'s", "'ll", ".", ",", "!!", "$$$$", "_", "7", "<|endoftext|>", "×", "😀", "\x1c"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(100)]
+        texts += [t.replace("\t", "").replace("\u2028", "").replace("\x1c", "").replace("<|endoftext|>", "") for t in texts]
+        ids, counts = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.keys("two lines\nof words") == [" two", "lines", "\nof", "words"]
+    ids = encoder.encode(["a zebrawordy b\nzebrawordy"])[0]
+    assert all(k in encoder.store.known for k in ("zebrawordy", "\nzebrawordy"))
+    encoder.tokenizer = Only(whole, lambda t: "zebra" not in t)
+    text = "a zebrawordy!, b\nzebrawordy."
+    assert encoder.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids and len(ids)
+
+
+class Only:
+    """A tokenizer for texts that pass."""
+
+    def __init__(self, tokenizer, passes):
+        self.tokenizer, self.passes = tokenizer, passes
+
+    def encode_batch_fast(self, texts, add_special_tokens):
+        assert all(map(self.passes, texts))
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+
 def test_workers_keep_only_what_the_stage_uses():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", None])], names=["text"])
     once = shared.worker_keeps(("one",), object)
