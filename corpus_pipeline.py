@@ -29,9 +29,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn from, no language claims anything and all documents go. Ties between languages go to the first by name.
     """
     model = kernel_langid.train(docs.where(~kernel_langid.held_out()))
-    # documents' own columns go through in one, out of the way of the result's names
-    scored = kernel_langid.predict(docs.select(F.struct(*docs.columns).alias("document"), "text"), model)
-    return scored.where((F.col("lang_pred") != kernel_langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("document.*")
+    # documents' other columns go through in one, out of the way of the result's names; the text goes once, beside them
+    other = F.struct(*[c for c in docs.columns if c != "text"]).alias("document")
+    scored = kernel_langid.predict(docs.select(other, "text"), model)
+    claimed = scored.where((F.col("lang_pred") != kernel_langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return claimed.select(*["text" if c == "text" else F.col("document")[c].alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

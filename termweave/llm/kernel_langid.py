@@ -152,13 +152,15 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text") -> Data
     Columns of ``docs`` called lang_pred or score are replaced.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    data = docs.select(F.col(text_col).cast("string").alias("__text"), *[docs[c] for c in keep])
+    own = text_col in keep and dict(docs.dtypes)[text_col] == "string"  # then the kept column is the text, which crosses once
+    place = keep.index(text_col) if own else len(keep)
+    data = docs.select(*[docs[c] for c in keep], *([] if own else [F.col(text_col).cast("string").alias("__text")]))
     params = model.params
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.zeros((params.batch, buckets(params)), np.float32)
-        for batch in shared.steps(batches, 0):
-            values = batch.column(0).to_pylist()
+        for batch in shared.steps(batches, place):
+            values = batch.column(place).to_pylist()
             names: list[str] = []
             scores: list[float] = []
             for at in range(0, len(values), params.batch):
@@ -174,8 +176,7 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text") -> Data
                     ok = ok and bool(model.languages)
                     names.append(model.languages[best[i]] if ok else UNDETERMINED)
                     scores.append(round(float(top[i]), 6) if ok else 0.0)
-            columns = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[docs[c] for c in keep]).schema.fields)
     return data.mapInArrow(run, f"{fields}, lang_pred string, score double")

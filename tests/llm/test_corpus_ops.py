@@ -455,6 +455,16 @@ def test_decontamination_writes_no_sample(spark, tmp_path):
     assert {r.doc_id for r in left.collect()} == set(range(30)) and own() == before
 
 
+def test_language_id_sends_texts_once(spark):
+    docs = frame(spark, [(i, prose(random.Random(i), 30)) for i in range(12)] + [(50, None), (51, "12 34")]).withColumn("lang_pred", F.lit("clash"))
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.schema.names == docs.schema.names and kept.sort("doc_id").collect() == docs.where("doc_id < 12").sort("doc_id").collect()
+    plan = kept._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    assert len(re.findall(r'"name":"(?:__)?text"', plan.children().head().schema().json())) == 1
+
+
 def test_pipeline_edges(spark, tmp_path):
     """Empty tables, an empty benchmark, null and shared ids, repeated rows and columns with clashing names."""
     rng = random.Random(14)
