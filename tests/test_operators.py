@@ -391,3 +391,49 @@ def test_plans_are_native(spark):
     pool = spark.range(50).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("term "), "id").alias("term"))
     plan = jaccard.match(pool, pool, "term", "term", "id")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "Python" not in plan
+
+
+def _names(plan):
+    return plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_scores_where_documents_lie(spark, monkeypatch):
+    """Same as SQL, with shared ids, repeated rows and several blocks and parts; no join makes a row for each query, document and token."""
+    import duckdb
+    from termweave.operators import products
+    from termweave.plans import oracle
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)] + ["ä", "x1"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(rng.randrange(40), say(rng.randrange(6)), rng.choice([None, say(9), say(9).upper()])) for _ in range(90)] + [(3, "w1 w2", "w3")] * 3
+    asked = [(say(3 + i % 4),) for i in range(15)] + [(None,), ("",), ("nothing here",)]
+    docs = spark.createDataFrame(rows, "doc_id long, term string, definition string")
+    queries = spark.createDataFrame(asked, "query string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE fld (doc_id BIGINT, term VARCHAR, definition VARCHAR)")
+    con.execute("CREATE TABLE items (query VARCHAR)")
+    con.executemany("INSERT INTO fld VALUES (?, ?, ?)", rows)
+    con.executemany("INSERT INTO items VALUES (?)", asked)
+    wanted = con.execute(f"WITH {oracle._terms('items', 'tm')}, {oracle._bm25('tm', 'fld', 'mm')} SELECT query, doc_id, score, rank FROM mm ORDER BY ALL").fetchall()
+    index = bm25.build_index(docs)
+    for entries, queries_at_once in ((1 << 20, 256), (20, 2)):
+        monkeypatch.setattr(products, "ENTRIES", entries)
+        monkeypatch.setattr(products, "QUERIES", queries_at_once)
+        found = bm25.multi_match(queries, index, k=5)
+        assert sorted(map(tuple, found.collect())) == [pytest.approx(x) for x in wanted]
+    plan = _names(bm25.multi_match(queries, index, k=5))
+    assert "MapInArrow" in plan and "Join" not in plan
+    stats = {r.field: (r.n, r.avgdl) for r in index.stats.collect()}
+    cut = [len((r[1] or "").split()) for r in rows if r[1]]
+    assert stats["term"] == (len(cut), pytest.approx(sum(cut) / len(cut)))
+
+
+def test_best_cells_are_bounded():
+    import numpy as np
+
+    best = topk.Best(2, 3)
+    row, col = best.cells(np.array([[1.0, 5.0, -np.inf], [1.0, 4.0, np.nan], [1.0, 6.0, -np.inf]]))
+    assert list(zip(row, col, strict=True)) == [(0, 0), (1, 0), (2, 1), (0, 1)]
+    row, col = best.cells(np.array([[0.5, 4.5, 1.0], [2.0, 5.5, -1.0]]))
+    assert list(zip(row, col, strict=True)) == [(1, 0), (1, 1), (0, 2), (1, 2)]
