@@ -429,6 +429,24 @@ def test_bm25_scores_where_documents_lie(spark, monkeypatch):
     assert stats["term"] == (len(cut), pytest.approx(sum(cut) / len(cut)))
 
 
+@pytest.mark.parametrize("n", [1, 3, 4])
+def test_whole_texts_match_like_terms(spark, monkeypatch, n):
+    """match_texts gives what the joined index gives, copies, ties, short and null texts included, and joins no n-grams."""
+    from termweave.operators import products
+
+    rng = random.Random(n)
+    texts = ["".join(rng.choice("abc äé😀") for _ in range(rng.randint(0, 9))) for _ in range(120)] + [None, "ab", "ab", "AB", "a"]
+    pool = spark.createDataFrame([(rng.randrange(90), t) for t in texts], "id long, term string")
+    queries = spark.createDataFrame([(t,) for t in texts[::3]], "q string")
+    wanted = sorted(map(tuple, jaccard.match(queries, pool, "q", "term", "id", 4, n, text.clean).collect()))
+    for entries, queries_at_once in ((1 << 20, 256), (40, 3)):
+        monkeypatch.setattr(products, "ENTRIES", entries)
+        monkeypatch.setattr(products, "QUERIES", queries_at_once)
+        found = jaccard.match_texts(queries, pool, "q", "term", "id", 4, n, text.clean)
+        assert sorted(map(tuple, found.collect())) == wanted != []
+    assert "ngram" not in _names(found)
+
+
 def test_best_cells_are_bounded():
     import numpy as np
 
