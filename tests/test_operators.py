@@ -455,3 +455,14 @@ def test_best_cells_are_bounded():
     assert list(zip(row, col, strict=True)) == [(0, 0), (1, 0), (2, 1), (0, 1)]
     row, col = best.cells(np.array([[0.5, 4.5, 1.0], [2.0, 5.5, -1.0]]))
     assert list(zip(row, col, strict=True)) == [(1, 0), (1, 1), (0, 2), (1, 2)]
+
+
+def test_dense_ties_and_pairs_by_products(spark):
+    """Equal vectors go by their ids over all slices; pairs without a condition are products, not a cross join."""
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(2600, 0, -1)], "id long, vector array<float>").coalesce(1)
+    few = v.where("id % 500 = 0")
+    found = dense.match_blocks(few, v, "id", "id", "vector", 3, skip_self=True)
+    pairs = dense.match_pairs(few, v, "id", "id", "vector", 3, skip_self=True)
+    slow = dense.match_pairs(few, v, "id", "id", "vector", 3, keep=F.col("query_id") != F.col("pool_id"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect())) == sorted(map(tuple, slow.collect()))
+    assert "MapInArrow" in _names(pairs) and "CartesianProduct" not in _names(pairs) and "NestedLoop" not in _names(pairs)
