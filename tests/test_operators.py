@@ -466,3 +466,39 @@ def test_dense_ties_and_pairs_by_products(spark):
     slow = dense.match_pairs(few, v, "id", "id", "vector", 3, keep=F.col("query_id") != F.col("pool_id"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect())) == sorted(map(tuple, slow.collect()))
     assert "MapInArrow" in _names(pairs) and "CartesianProduct" not in _names(pairs) and "NestedLoop" not in _names(pairs)
+
+
+def test_few_hops_against_hop_by_hop(spark):
+    """Graphs with cycles, repeated edges and hubs; the way on from a parent is found once, not once for each concept below it."""
+    rng = random.Random(6)
+    rows = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(45)] + [(f"low{i}", "n1") for i in range(40)] * 2 + [(None, "n1"), ("n1", None)]
+    starts = spark.createDataFrame([(f"low{i}",) for i in range(40)] + [(f"n{i}",) for i in range(0, 35, 3)], "concept_id string")
+    for depth in range(4):
+        few = sorted(map(tuple, hierarchy.ancestors_few_hops(starts, edges(spark, rows), depth).collect()))
+        assert few == sorted(map(tuple, hierarchy.ancestors(starts, edges(spark, rows), depth).collect()))
+    plan = _names(hierarchy.ancestors_few_hops(starts, edges(spark, rows), 3))
+    assert plan.count("Join") <= 2 * plan.count("Union") and plan.count("parent") and "RepartitionBy" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_messages_are_made_in_bounded_tasks(spark, monkeypatch):
+    """Tasks that hold messages grow in number with the rows, and messages themselves are not dealt out."""
+    monkeypatch.setattr(generation, "ROWS", 10)
+    sample = spark.createDataFrame([(i, f"heart {i}", "x") for i in range(25)], "sample_index long, test_name string, spec_type_desc string")
+    grid = generation.experiment_grid(sample, "test_name", ("spec_type_desc",), ("m1", "m2"))
+    assert grid.rdd.getNumPartitions() == 30
+    asked = generation.generate_missing(grid.select("key", "messages"), None, generation.echo)
+    assert _names(asked).count("Exchange") == 1 and asked.rdd.getNumPartitions() == 30
+    assert asked.count() == 300 == grid.select("key").distinct().count()
+
+
+def test_hashing_counts_names_of_cells(spark):
+    """The built-in embedder gives the vectors of the definition and asks no lambda about each n-gram for each cell."""
+    texts = spark.createDataFrame([("heart attack " * 20,), ("Äb, c-d",), ("",), (None,), ("x",)], "t string")
+    grams = text.ngrams(text.clean(F.col("t")), 3)
+    hashed = F.transform(grams, lambda g: F.struct(F.pmod(F.xxhash64(g), F.lit(64)).alias("cell"), F.when(F.xxhash64(g, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
+    made = text.hashed_embedding(F.col("t"))
+    for r in texts.select(hashed.alias("h"), made.alias("v")).collect():
+        sums = [sum(x.sign for x in r.h if x.cell == k) for k in range(64)]
+        norm = math.sqrt(sum(x * x for x in sums))
+        assert r.v == pytest.approx([x / norm if norm else 0.0 for x in sums], abs=1e-7)
+    assert "array_remove" in _names(texts.select(made)) and "aggregate(filter" not in _names(texts.select(made))
